@@ -32,7 +32,7 @@ class Bands:
     level: int = 3
     chunk: int = 4096
     bad_share: float = 0.5
-    limits: tuple[tuple[int, float, float], ...] = ((200, 0.9, 6.0), (1000, 1.1, 8.0), (4000, 1.2, 10.0), (16000, 1.25, 12.0))
+    limits: tuple[tuple[int, float, float], ...] = ((200, 0.9, 2.8), (1000, 1.1, 4.0), (4000, 1.2, 5.0), (16000, 1.25, 6.0))
 
     def band(self, n: int) -> tuple[float, float] | None:
         found = [x[1:] for x in self.limits if n >= x[0]]
