@@ -11,12 +11,17 @@ from onoma.llm.line_dedup import line_dedup
 from onoma.llm.mixing import mix_sources
 from onoma.llm.quality import quality_rules
 from onoma.llm.simhash import near_duplicates
+from onoma.llm.suffix_dedup import suffix_dedup
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "kept")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,5 +39,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_decontamination, op6_simhash, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op9_line_dedup, op10_quality)}
 ORACLES: dict[str, str] = {}
