@@ -228,10 +228,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """docs without all but one document of each component: the row whose doc_id names it.
+    """docs without all but one document of each component: the rows whose doc_id names it.
 
-    Rows that repeat that doc_id with the same text are one document too; a row of a repeated
-    doc_id with another text stays, as it can't be told apart.
+    Rows without a doc_id can't be told apart, so they all stay; so do rows that repeat the
+    doc_id that stays.
     """
-    drop = near_duplicates(docs, radius).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    drop = near_duplicates(docs, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(drop, F.col("doc_id") == F.col("_gone"), "left_anti")
