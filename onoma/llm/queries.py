@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from onoma.llm.common import table
 from onoma.llm.decontamination import decontaminate
+from onoma.llm.license_scan import scan_licenses
 from onoma.llm.line_dedup import line_dedup
 from onoma.llm.mixing import mix_sources
+from onoma.llm.pii import find_pii
 from onoma.llm.quality import quality_rules
 from onoma.llm.simhash import near_duplicates
 from onoma.llm.suffix_dedup import suffix_dedup
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -39,5 +49,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_license_scan, op9_line_dedup, op10_quality)}
 ORACLES: dict[str, str] = {}
