@@ -14,6 +14,7 @@ from onoma.llm.pii import find_pii
 from onoma.llm.quality import quality_rules
 from onoma.llm.simhash import near_duplicates
 from onoma.llm.suffix_dedup import suffix_dedup
+from onoma.llm.toxicity import score_toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -49,5 +55,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_license_scan, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_license_scan, op8_toxicity, op9_line_dedup, op10_quality)}
 ORACLES: dict[str, str] = {}
