@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 #: White space of the corpus contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 TOKEN = r"[^\x20\x09-\x0D]+"
-#: Word separators once A-Z is lower-cased, and the same class on raw text.
-SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+def _ascii_class(*spans: tuple[int, int]) -> str:
+    """Each character by itself: Java tests such a class by one bit set, and a union of ranges ten times slower."""
+    return "".join(f"\\x{i:02X}" for a, b in spans for i in range(a, b + 1))
+
+
+#: Word separators once A-Z is lower-cased: U+0000-2F, U+003A-60, U+007B-7F; and on raw text, where A-Z are letters.
+SEPARATOR = f"[{_ascii_class((0, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))}]+"
+RAW_SEPARATOR = f"[{_ascii_class((0, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))}]"
+RAW_WORD = f"[^{RAW_SEPARATOR[1:]}+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -43,7 +43,8 @@ def winnowed(words: Column, width: int, k: int = 5) -> Column:
 
 
 def _window(words: Column, start: Column, width: int) -> Column:
-    return F.array_join(F.slice(words, start + 1, F.lit(width)), " ")
+    # never null, so no filter on it is inferred, which would run on all windows before the join
+    return F.coalesce(F.array_join(F.slice(words, start + 1, F.lit(width)), " "), F.lit(""))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -69,7 +70,9 @@ def window_hits(docs: DataFrame, windows: DataFrame, k: int = 5) -> DataFrame:
         passes = -(-marks.count() // FINGERPRINTS_A_PASS)
         for p in range(passes):
             some = marks.filter(F.pmod("_mark", F.lit(passes)) == p) if passes > 1 else marks
-            places = read.filter(F.size("words") >= width).select("doc_id", "words", F.posexplode(winnowed(F.col("words"), width, k)).alias("at", "mark"))
+            # Hashes are made before the rows are multiplied, so that neither copies the words for each window.
+            # The outer form keeps the optimizer from adding a filter that would hash all words once more.
+            places = read.select("doc_id", "words", winnowed(F.col("words"), width, k).alias("marks")).select("doc_id", "words", F.posexplode_outer("marks").alias("at", "mark"))
             hits = places.join(F.broadcast(some), F.col("mark") == F.col("_mark"), "left_semi")
             found.append(hits.select("doc_id", "at", F.lit(width).alias("width"), _window(F.col("words"), F.col("at"), width).alias("window")))
     if not found:
