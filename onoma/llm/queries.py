@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from onoma.llm.common import table
 from onoma.llm.decontamination import decontaminate
+from onoma.llm.html_blocks import main_text
 from onoma.llm.license_scan import scan_licenses
 from onoma.llm.line_dedup import line_dedup
 from onoma.llm.mixing import mix_sources
@@ -21,6 +22,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -55,5 +60,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_license_scan, op8_toxicity, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_html_text, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_license_scan, op8_toxicity, op9_line_dedup, op10_quality)}
 ORACLES: dict[str, str] = {}
