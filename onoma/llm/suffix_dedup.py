@@ -291,7 +291,8 @@ def repeated_spans(rows: DataFrame, large: int = LARGE) -> DataFrame:
     for c, kind in (("at", "long"), ("n", "integer"), ("offset", "integer"), ("anchor", "long"), ("content", "long")):
         schema = schema.add(c, kind)
     chunks = stage(read.mapInArrow(_chunks, schema), "chunks")
-    again = chunks.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    # a table of its own, so that the join below reads plain exchanges, whose hot anchors Spark can split
+    again = stage(chunks.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"), "anchors")
     chunks = stage(chunks.join(again, "anchor", "left_semi").select(*chunks.columns), "repeated")
     cells = chunks.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*(x for x in chunks.columns if x not in ("anchor", "content")))).alias("one"))
     cells = stage(cells, "cells")
