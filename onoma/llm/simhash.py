@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     own = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(own, "root").select("fp", "component_id")
     of = nodes.join(linked.select(F.col("fp").alias("_f"), "component_id"), F.col("fp") == F.col("_f"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    # a table of its own, so that the join reads plain exchanges: Spark can split the rows of a hot fingerprint
+    return rows.join(stage(of, "components"), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = 4) -> DataFrame:
