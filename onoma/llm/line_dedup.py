@@ -78,6 +78,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     docs = docs.select(*columns)
     pairs = stage(docs.select("doc_id", "text").mapInArrow(_line_hashes(min_chars), docs.select("doc_id").schema.add("h1", "long").add("h2", "long")), "lines")
     hot = pairs.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
+    hot = stage(hot, "hot")  # a table of its own, so that the join reads plain exchanges: Spark can split a hot line's rows
     lists = pairs.join(hot, ["h1", "h2"], "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_hot"))
     joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*columns, "_hot")
     schema = docs.schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
