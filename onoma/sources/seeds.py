@@ -24,7 +24,7 @@ def read_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
     A byte order mark is dropped; empty fields are empty strings.
     """
-    raw = spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").option("inferSchema", False).option("multiLine", True).csv(path)
+    raw = spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").option("escape", "\"").option("inferSchema", False).option("multiLine", True).csv(path)
     names = {c.lstrip(BOM).strip('"'): c for c in raw.columns}
     picked = raw.select(*(F.coalesce(F.col(f"`{names[c]}`"), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in columns))
     # a file read whole is one partition, in which these numbers run by row
