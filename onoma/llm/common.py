@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onoma.sources.staging import stage
+
+__all__ = ["stage"]
+
 #: White space of the corpus contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 TOKEN = r"[^\x20\x09-\x0D]+"
+
+
 def _ascii_class(*spans: tuple[int, int]) -> str:
     """Each character by itself: Java tests such a class by one bit set, and a union of ranges ten times slower."""
     return "".join(f"\\x{i:02X}" for a, b in spans for i in range(a, b + 1))
@@ -31,27 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = spark.conf.get("onoma.local.checkpoint", None)
-        if root is None:
-            root = tempfile.mkdtemp(prefix="onoma-")
-            spark.conf.set("onoma.local.checkpoint", root)
-    return root.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/onoma/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -11,6 +11,7 @@ from onoma.llm.html_blocks import main_text
 from onoma.llm.license_scan import scan_licenses
 from onoma.llm.line_dedup import line_dedup
 from onoma.llm.mixing import mix_sources
+from onoma.llm.oracles import ORACLES
 from onoma.llm.pii import find_pii
 from onoma.llm.quality import quality_rules
 from onoma.llm.simhash import near_duplicates
@@ -61,4 +62,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_html_text, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_license_scan, op8_toxicity, op9_line_dedup, op10_quality)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
