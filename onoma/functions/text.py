@@ -84,7 +84,9 @@ def jamo_key(value: Column) -> Column:
 
 def without_accents(value: Column) -> Column:
     """Marks dropped from letters; letters that do not decompose (ß, ø, ł) stay."""
-    return F.regexp_replace(F.translate(text(value), *t.plain_letters()), _MARKS, "")
+    whole = text(value)
+    stripped = F.regexp_replace(F.translate(whole, *t.plain_letters()), _MARKS, "")
+    return F.when(F.octet_length(whole) == F.length(whole), whole).otherwise(stripped)  # pure ASCII has none
 
 
 def search_key_en(value: Column) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onoma.functions import tables as t
 from onoma.functions.text import audit_words_en, audit_words_ko, has_syllables, text
+from onoma.sources.staging import stage
 
 SHOWN_NAMES = 4
 
@@ -57,14 +58,16 @@ def homonyms(terms: DataFrame) -> DataFrame:
 
 
 def audit(terms: DataFrame) -> DataFrame:
-    """(category, detail), a row for each issue; rows that repeat in the dictionary repeat here."""
+    """(category, detail), a row for each issue; rows that repeat in the dictionary repeat here.
+
+    Five checks read the dictionary, so what makes it is run once and written.
+    """
+    terms = stage(terms.select("canonical_id", "type", "is_alias", "name_ko", "name_en"), "terms")
     return reduce(DataFrame.union, (f(terms) for f in (truncated_originals, type_overlaps, spellings_without_hangul, wrong_originals, homonyms)))
 
 
 def audit_summary(issues: DataFrame, shown: int = 15) -> DataFrame:
     """(category, n, first): how many of each, and the first details in order, as a report shows them."""
-    from pyspark.sql import Window
-
     ranked = issues.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("detail")))
     return ranked.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= shown, F.col("detail")))).alias("first"))
 

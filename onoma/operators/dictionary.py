@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from onoma.functions import tables as t
 from onoma.functions.text import canonical_name, flat, jamo_key, key_en, name_display, search_key_en, without_ko_prefix
+from onoma.sources.staging import numbered
 
 TERM_COLUMNS = ["canonical_id", "type", "name_ko", "name_ko_primary", "is_alias", "name_en", "name_display", "tier", "key_ko", "key_en", "key_len", "region_group", "ko_source", "wikidata"]
 ENTRY_COLUMNS = ["type", "name_ko", "name_en", "tier", "region_group", "ko_source", "is_alias", "_seq"]
@@ -38,12 +39,12 @@ def add_stripped(rows: DataFrame, after: Column) -> DataFrame:
 def assign_canonical(rows: DataFrame) -> DataFrame:
     """rows with canonical_id: one of each type and original name without blanks, numbered by first appearance.
 
-    The number is over distinct entities only, after aggregation; rows without an original name go by their own key.
+    Numbers are given to distinct entities, in ranges; rows without an original name go by their own key.
     """
     key = flat(search_key_en(F.col("name_en")))
     keyed = rows.withColumn("_ken", F.when(key == "", F.concat(F.lit("ko:"), jamo_key(F.col("name_ko")))).otherwise(key))
     ids = keyed.groupBy(F.col("type").alias("_t"), F.col("_ken").alias("_k")).agg(F.min("_seq").alias("_first"))
-    ids = ids.withColumn("canonical_id", canonical_name(F.col("_t"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first"))))
+    ids = numbered(ids, "_number", "_first").withColumn("canonical_id", canonical_name(F.col("_t"), F.col("_number"))).drop("_number")
     return keyed.join(ids, (F.col("type") == F.col("_t")) & (F.col("_ken") == F.col("_k"))).drop("_t", "_k", "_ken", "_first")
 
 
@@ -102,8 +103,8 @@ def build(entries: DataFrame, aliases: DataFrame) -> Dictionary:
         "wikidata": F.lit(""),
     })
     rows = rows.filter("key_ko <> ''").withColumn("key_len", F.length("key_ko"))
-    order = Window.partitionBy(F.lit(0)).orderBy("type", "name_ko_primary", "is_alias", "canonical_id", "_place")
-    return Dictionary(rows.withColumn("term_seq", F.row_number().over(order).cast("long")).select("term_seq", *TERM_COLUMNS), orphans)
+    rows = numbered(rows, "term_seq", "type", "name_ko_primary", "is_alias", "canonical_id", "_place")
+    return Dictionary(rows.select("term_seq", *TERM_COLUMNS), orphans)
 
 
 def compact(terms: DataFrame) -> DataFrame:

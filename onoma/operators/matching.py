@@ -64,7 +64,8 @@ def lookup_ko(frags: DataFrame, index: Index) -> DataFrame:
 
     Exact keys; prefixes of keys, or of words where the key itself has none; else typos. Empty keys find nothing.
     """
-    q = frags.select("fid", "th", "q_type", "allow_prefix", jamo_key(F.col("text")).alias("q_key")).filter("q_key <> ''").withColumn("q_len", F.length("q_key"))
+    key = F.col("q_key") if "q_key" in frags.columns else jamo_key(F.col("text"))
+    q = frags.select("fid", "th", "q_type", "allow_prefix", key.alias("q_key")).filter("q_key <> ''").withColumn("q_len", F.length("q_key"))
     exact = q.join(index.exact_ko, F.col("q_key") == F.col("key")).filter(of_type()).select("fid", "canonical_id", "term_seq", F.lit(EXACT).alias("score"), F.lit(0).alias("stage"), "ko_len")
     open_ = q.filter("allow_prefix and q_len >= 2")
     whole = open_.join(index.prefix_ko, F.col("q_key") == F.col("key")).filter(of_type())
@@ -75,7 +76,7 @@ def lookup_ko(frags: DataFrame, index: Index) -> DataFrame:
     columns = ["fid", "canonical_id", "term_seq", "score", F.lit(1).alias("stage"), "ko_len"]
     pushed = exact.union(whole.filter("score >= th").select(*columns)).union(words.filter("score >= th").select(*columns))
     pushed = stage(pushed, "pushed")
-    left = stage(q.join(pushed.select("fid").distinct(), "fid", "left_anti"), "left")
+    left = q.join(pushed.select("fid").distinct(), "fid", "left_anti")
     wide = F.greatest(F.col("q_len") * 0.4, F.lit(3.0))
     keys = index.exact_ko.select("key", F.col("ko_len").alias("len")).distinct()
     asked = left.select("q_key", "q_len", "th").distinct()
@@ -91,7 +92,8 @@ def lookup_en(queries: DataFrame, index: Index) -> DataFrame:
     Exact keys; for each name the first that fits of prefix, word (queries of one word) and inner
     part; typos only where none of these fits at all, whatever its score.
     """
-    q = queries.select("fid", "th", "q_type", query_key_en(F.col("text")).alias("words")).filter(F.length("words") >= 2)
+    key = F.col("words") if "words" in queries.columns else query_key_en(F.col("text"))
+    q = queries.select("fid", "th", "q_type", key.alias("words")).filter(F.length("words") >= 2)
     q = q.select("fid", "th", "q_type", "words", flat(F.col("words")).alias("q_key")).withColumn("q_len", F.length("q_key"))
     exact = q.join(index.exact_en, F.col("q_key") == F.col("key")).filter(of_type()).select("fid", "canonical_id", "term_seq", F.lit(EXACT).alias("score"), F.lit(0).alias("stage"), "en_len")
     found = ["fid", "th", "canonical_id", "term_seq", "en_len"]
@@ -104,7 +106,7 @@ def lookup_en(queries: DataFrame, index: Index) -> DataFrame:
     fits = fits.select("fid", "th", "canonical_id", "term_seq", (-F.col("x.minus")).alias("score"), F.lit(1).alias("stage"), "en_len")
     fits = stage(fits, "fits")
     pushed = exact.union(fits.filter("score >= th").drop("th"))
-    left = stage(q.join(exact.select("fid").union(fits.select("fid")).distinct(), "fid", "left_anti"), "left")
+    left = q.join(exact.select("fid").union(fits.select("fid")).distinct(), "fid", "left_anti")
     tolerance = F.least(F.greatest(F.col("th") - TOLERANCE_SLACK, F.lit(TOLERANCE_LOW)), F.lit(TOLERANCE_HIGH))
     wide = F.greatest(F.col("q_len") * 0.5, F.lit(3.0))
     asked = left.select("q_key", "q_len", "th").distinct().withColumn("tol", tolerance)
@@ -152,8 +154,9 @@ def scan_ko(queries: DataFrame, index: Index) -> DataFrame:
     A canonical keeps its hit of the full text, else its best fragment, of equals the first; hits of
     the full text rank before all others.
     """
-    frags = stage(fragments(queries).withColumn("fid", F.struct("qid", "fno")), "fragments")
-    hits = lookup_ko(frags.select("fid", "text", "th", "q_type", "allow_prefix"), index)
+    # keys are made once and written, not once for each join that reads them
+    frags = stage(fragments(queries).withColumns({"fid": F.struct("qid", "fno"), "q_key": jamo_key(F.col("text"))}), "fragments")
+    hits = lookup_ko(frags, index)
     hits = hits.select("fid.*", "rank", "canonical_id", "term_seq", "score", "length").join(frags.select("qid", "fno", F.col("text").alias("frag"), "is_full"), ["qid", "fno"])
     own = Window.partitionBy("qid", "canonical_id")
     kept = hits.withColumn("first", F.min(F.struct("fno", "rank")).over(own))
@@ -170,7 +173,7 @@ def scan(queries: DataFrame, index: Index) -> DataFrame:
     """
     q = queries.select("qid", trimmed(F.col("text")).alias("text"), F.col("th").cast("double").alias("th"), F.col("type").alias("q_type")).filter("text <> ''")
     # what a branch found decides what the next one sees, so each is written once and not planned again in all that follow
-    q = stage(q.withColumn("hangul", has_hangul(F.col("text"))).withColumn("latin", has_latin(F.col("text")) & ~F.col("hangul")), "queries")
+    q = stage(q.withColumn("hangul", has_hangul(F.col("text"))).withColumn("latin", has_latin(F.col("text")) & ~F.col("hangul")).withColumn("words", query_key_en(F.col("text"))), "queries")
     none = F.lit(None).cast("string")
     columns = ["qid", "rank", "canonical_id", "term_seq", "score"]
 
@@ -180,11 +183,11 @@ def scan(queries: DataFrame, index: Index) -> DataFrame:
         return found.join(said, "qid").select(*columns, none.alias("frag"), F.lit(False).alias("is_full"), F.lit(via).alias("via"), "typed")
 
     latin = stage(originals(q.filter("latin"), "en", none), "latin")
-    rest = stage(q.join(latin.select("qid").distinct(), "qid", "left_anti"), "rest")
+    rest = q.join(latin.select("qid").distinct(), "qid", "left_anti")
     spelled = stage(scan_ko(rest.select("qid", "text", "th", "q_type"), index).select(*columns, "frag", "is_full", F.lit("ko").alias("via"), none.alias("typed")), "spelled")
     mistyped = rest.filter("hangul").join(spelled.select("qid").distinct(), "qid", "left_anti").withColumn("text", hangul_to_qwerty(F.col("text"))).filter(F.length("text") >= 2)
-    mistyped = stage(mistyped, "mistyped")
-    keyboard = originals(mistyped.select("qid", "text", "th", "q_type"), "kbd", F.col("text"))
+    mistyped = stage(mistyped.withColumn("words", query_key_en(F.col("text"))), "mistyped")
+    keyboard = originals(mistyped, "kbd", F.col("text"))
     return reduce(DataFrame.union, (latin, spelled, keyboard))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         root = spark.conf.get("onoma.local.checkpoint", None)
         if root is None:
             root = tempfile.mkdtemp(prefix="onoma-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
             spark.conf.set("onoma.local.checkpoint", root)
     return root.rstrip("/")
 
@@ -26,4 +32,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/onoma/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all tables that stage() has written in this process; for when results have been read or written."""
+    jvm, done = spark.sparkContext._jvm, len(_written)
+    for path in _written:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _written.clear()
+    return done
+
+
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df with `name`, its place in a total order from 1, without passing all rows through one task.
+
+    Rows are dealt by ranges of the order and written, so that ranges stay as they are; each range numbers its
+    own rows and adds the sizes of those before it, of which there are as many as partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_range").orderBy(*order)
+    return ranged.join(F.broadcast(sizes), "_range").withColumn(name, (F.row_number().over(own) + F.col("_before")).cast("long")).drop("_range", "_before")

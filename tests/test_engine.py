@@ -265,3 +265,16 @@ def test_stream(spark, index, tmp_path):
     query.stop()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r.qid for r in got.collect()} == {0, 1}
+
+
+def test_numbers_and_staged_tables(spark):
+    from onoma.sources import staging
+
+    df = spark.createDataFrame([(i * 7919 % 1009, i % 5) for i in range(1009)], "k int, t int").repartition(3)
+    got = staging.numbered(df, "n", "t", "k").orderBy("n").collect()
+    assert [(r.t, r.k) for r in got] == sorted((i % 5, i * 7919 % 1009) for i in range(1009)) and [r.n for r in got] == list(range(1, 1010))
+    assert staging.numbered(df.limit(0), "n", "t", "k").count() == 0
+    kept, staging._written[:] = staging._written[:], []
+    table = staging.stage(df, "x")
+    assert table.count() == 1009 and staging.drop_staged(spark) == 1
+    staging._written[:] = kept
