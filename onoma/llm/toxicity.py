@@ -139,11 +139,12 @@ def distinct_texts(texts: list[str], radius: int = 6) -> list[int]:
     return kept
 
 
-def markers(docs: list[list[list[str]]], toxic: np.ndarray, min_ratio: float = 20.0, min_evidence: float = 14.0) -> set[str]:
+def markers(docs: list[list[list[str]]], toxic: np.ndarray, min_ratio: float = 20.0, stem_ratio: float = 6.0, min_evidence: float = 14.0) -> set[str]:
     """Features that are min_ratio times as frequent among toxic documents, by more than chance.
 
-    Chance is the bound exp(-n KL(share || mean)) on n documents with the feature having so high a
-    share of toxic ones; e^-14 is below one in a million, for vocabularies of that order.
+    For beginnings of five letters and more stem_ratio is enough: clean words may share a stem of
+    toxic ones. Chance is the bound exp(-n KL(share || mean)) on n documents with the feature having so high
+    a share of toxic ones; e^-14 is below one in a million, for vocabularies of that order.
     """
     seen = (Counter(), Counter())
     for x, y in zip(docs, toxic, strict=True):
@@ -154,11 +155,17 @@ def markers(docs: list[list[list[str]]], toxic: np.ndarray, min_ratio: float = 2
         q = c1 / (c1 + c0)
         return (c1 + c0) * ((q * np.log(q / mean)) + ((1 - q) * np.log((1 - q) / (1 - mean)) if c0 else 0.0))
 
-    return {f for f, c in seen[1].items() if c / n[1] >= min_ratio * (seen[0][f] + 0.5) / n[0] and evidence(c, seen[0][f]) >= min_evidence}
+    def ratio(f: str) -> float:
+        return stem_ratio if f[-1] == "+" and len(f) > 5 else min_ratio
 
+    return {f for f, c in seen[1].items() if c / n[1] >= ratio(f) * (seen[0][f] + 0.5) / n[0] and evidence(c, seen[0][f]) >= min_evidence}
 
-def train(texts: list[str], toxic: list[int], rounds: int = 60, rate: float = 0.3, decay: float = 0.02) -> Toxicity:
-    """The field and curve of labelled texts; without both labels, a constant score that is their mean."""
+
+def train(texts: list[str], toxic: list[int], prevalence: float | None = None, rounds: int = 60, rate: float = 0.3, decay: float = 0.02) -> Toxicity:
+    """The field and curve of labelled texts; without both labels, a constant score that is their mean.
+
+    prevalence is the share of toxic texts where the sample comes from, if classes were sampled apart.
+    """
     kept = distinct_texts(texts)
     texts, y = [texts[i] for i in kept], np.array([toxic[i] for i in kept], dtype=np.int64)
     mean = float(y.mean()) if len(y) else 0.0
@@ -214,6 +221,8 @@ def train(texts: list[str], toxic: list[int], rounds: int = 60, rate: float = 0.
         q = 1 / (1 + np.exp(-np.clip(x @ c, -STEP, STEP)))
         h = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3)
         c = c + np.linalg.solve(h, x.T @ (y - q) - 0.05 * c)
+    if prevalence and prevalence < 1:  # the sample's odds are taken off the curve, and the true ones put on
+        c[2] += np.log(prevalence / (1 - prevalence)) - np.log(y.mean() / (1 - y.mean()))
     return Toxicity(model.weights, model.bias, model.start, model.change, tuple(map(float, c)))
 
 
@@ -221,8 +230,8 @@ def is_held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int) -> tuple[list[str], list[int]]:
-    """At most max_docs labelled texts of each class, by hash order, none of them held out.
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int) -> tuple[list[str], list[int], float | None]:
+    """At most max_docs labelled texts of each class, by hash order, none of them held out; and the share of toxic labels.
 
     Texts over max_chars are left to others, so that the driver holds 2 x max_docs x max_chars at most.
     """
@@ -236,7 +245,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int) ->
         rows = met.select("doc_id", "text").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
         texts += [r.text for r in rows]
         toxic += [y] * len(rows)
-    return texts, toxic
+    share = marks.agg(F.avg("toxic")).first()[0]
+    return texts, toxic, share
 
 
 def _spans(text: str, p: np.ndarray, limit: float) -> list[dict[str, int]]:
