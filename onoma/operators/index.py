@@ -6,7 +6,8 @@ name_en, key_ko, key_en). Prefix rows grow with the summed lengths of keys, not
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +55,23 @@ class Index:
     token_en: DataFrame
     gram_en: DataFrame
 
+    def tables(self) -> list[DataFrame]:
+        return [getattr(self, f.name) for f in fields(self)]
+
     def cache(self) -> Index:
-        for df in vars(self).values():
+        for df in self.tables():
             df.cache()
         return self
 
     def unpersist(self) -> None:
-        for df in vars(self).values():
+        for df in self.tables():
             df.unpersist()
 
+    @cached_property
+    def size(self) -> int:
+        """Number of terms, counted once: what a broadcast of all keys would hold."""
+        return self.terms.count()
+
 
 def build_index(terms: DataFrame) -> Index:
     """Index of a dictionary with the columns TERM."""

@@ -19,6 +19,8 @@ from onoma.operators.index import Index, heavy_letters
 from onoma.sources.staging import stage
 
 TOP = 10
+#: Keys up to this number, of some 100 bytes each, are broadcast to the typo stage; more are dealt with salts.
+BROADCAST_KEYS = 200_000
 #: Score formulas, (base, weight of the covered share) or a plain score.
 EXACT, PREFIX, TOKEN_KO, TOKEN_KO_PREFIX = 1.0, (0.80, 0.20), 0.95, (0.82, 0.13)
 TOKEN_EN, TOKEN_EN_PREFIX, INSIDE, HEAD = 0.97, (0.84, 0.13), (0.75, 0.20), 0.95
@@ -46,15 +48,23 @@ def _best(pushed: DataFrame, length: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= TOP).select("fid", "rank", "canonical_id", "term_seq", "score", F.col(length).alias("length"))
 
 
-def typo_pairs(open_: DataFrame, keys: DataFrame, low: Column, high: Column, most: Column) -> DataFrame:
+def typo_pairs(open_: DataFrame, keys: DataFrame, low: Column, high: Column, most: Column, n_keys: int) -> DataFrame:
     """Pairs of open_(q_key, q_len, ..) and distinct keys(key, len) in a band of lengths with distance d <= most.
 
     The band is a list of lengths that each query asks for, so the join is on equal lengths. Each
     letter that one key has and the other lacks costs a point at least, unless it is a light
-    one; pairs beyond `most` by that bound need no table. `most` may use q_len and len.
+    one; pairs beyond `most` by that bound need no table. `most` may use q_len and len. There are
+    few lengths, so a join on them alone would have few tasks: up to BROADCAST_KEYS keys (n_keys is their
+    number or more) go to all queries, beyond that each key goes to every salt and each query to one.
     """
     bands = open_.withColumn("len", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), high.cast("int")))).withColumn("_q", heavy_letters(F.col("q_key")))
-    met = bands.join(keys.withColumn("_k", heavy_letters(F.col("key"))), "len").withColumn("most", most)
+    keys = keys.withColumn("_k", heavy_letters(F.col("key")))
+    if n_keys <= BROADCAST_KEYS:
+        met = bands.join(F.broadcast(keys), "len").withColumn("most", most)
+    else:
+        salts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = bands.withColumn("_salt", F.pmod(F.xxhash64("q_key"), F.lit(salts)).cast("int")).join(dealt, ["len", "_salt"]).drop("_salt").withColumn("most", most)
     met = met.filter((F.size(F.array_except("_q", "_k")) <= F.col("most")) & (F.size(F.array_except("_k", "_q")) <= F.col("most"))).drop("_q", "_k")
     return met.withColumn("d", weighted_distance_arrow("q_key", "key"))
 
@@ -80,7 +90,7 @@ def lookup_ko(frags: DataFrame, index: Index) -> DataFrame:
     wide = F.greatest(F.col("q_len") * 0.4, F.lit(3.0))
     keys = index.exact_ko.select("key", F.col("ko_len").alias("len")).distinct()
     asked = left.select("q_key", "q_len", "th").distinct()
-    near = typo_pairs(asked, keys, F.ceil(F.col("q_len") - wide), F.floor(F.col("q_len") + wide), (1 - F.col("th")) * F.greatest("q_len", "len") + 1e-9)
+    near = typo_pairs(asked, keys, F.ceil(F.col("q_len") - wide), F.floor(F.col("q_len") + wide), (1 - F.col("th")) * F.greatest("q_len", "len") + 1e-9, index.size)
     near = near.withColumn("score", 1 - F.col("d") / F.greatest("q_len", "len")).filter("score >= th").select(F.col("q_key").alias("_q"), F.col("th").alias("_th"), "key", "score")
     typos = left.join(near, (F.col("q_key") == F.col("_q")) & (F.col("th") == F.col("_th"))).drop("_q", "_th").join(index.exact_ko, "key").filter(of_type())
     return _best(pushed.union(typos.select("fid", "canonical_id", "term_seq", "score", F.lit(2).alias("stage"), "ko_len")), "ko_len")
@@ -109,9 +119,9 @@ def lookup_en(queries: DataFrame, index: Index) -> DataFrame:
     left = q.join(exact.select("fid").union(fits.select("fid")).distinct(), "fid", "left_anti")
     tolerance = F.least(F.greatest(F.col("th") - TOLERANCE_SLACK, F.lit(TOLERANCE_LOW)), F.lit(TOLERANCE_HIGH))
     wide = F.greatest(F.col("q_len") * 0.5, F.lit(3.0))
-    asked = left.select("q_key", "q_len", "th").distinct().withColumn("tol", tolerance)
+    asked = stage(left.select("q_key", "q_len", "th").distinct().withColumn("tol", tolerance), "asked")
     keys = index.exact_en.select("key", F.length("key").alias("len")).distinct()
-    near = typo_pairs(asked, keys, F.ceil(F.col("q_len") - wide), F.floor(F.col("q_len") + wide), (1 - F.col("tol")) * F.greatest("q_len", "len") + 1e-9)
+    near = typo_pairs(asked, keys, F.ceil(F.col("q_len") - wide), F.floor(F.col("q_len") + wide), (1 - F.col("tol")) * F.greatest("q_len", "len") + 1e-9, index.size)
     near = near.withColumn("score", 1 - F.col("d") / F.greatest("q_len", "len")).filter("score >= tol").select("q_key", "th", "key", "score")
     # a name too long for that is compared by its head: heads are shared by many names, so each is compared once
     beyond = F.floor(F.col("q_len") + wide) + 1
@@ -119,7 +129,7 @@ def lookup_en(queries: DataFrame, index: Index) -> DataFrame:
     lengths = asked.select("q_len").filter("q_len >= 3").distinct().withColumn("beyond", F.greatest(beyond, F.col("q_len") + 1))
     cuts = lengths.join(F.broadcast(sizes), F.col("long") >= F.col("beyond")).select("q_len", "long")  # a row for each two lengths
     heads = cuts.join(keys, F.col("long") == F.col("len")).select("key", F.substring("key", F.lit(1), F.col("q_len")).alias("head"), F.col("q_len").alias("len"))
-    by_head = typo_pairs(asked.filter("q_len >= 3"), heads.select(F.col("head").alias("key"), "len").distinct(), F.col("q_len"), F.col("q_len"), (1 - F.col("tol")) * F.col("q_len") + 1e-9)
+    by_head = typo_pairs(asked.filter("q_len >= 3"), heads.select(F.col("head").alias("key"), "len").distinct(), F.col("q_len"), F.col("q_len"), (1 - F.col("tol")) * F.col("q_len") + 1e-9, heads.count())
     by_head = by_head.withColumn("score", 1 - F.col("d") / F.col("q_len")).filter("score >= tol").select("q_key", "th", F.col("key").alias("head"), "len", (F.col("score") * HEAD).alias("score"))
     by_head = by_head.join(heads, ["head", "len"]).select("q_key", "th", "key", "score")
     near = near.union(by_head).select(F.col("q_key").alias("_q"), F.col("th").alias("_th"), "key", "score")
@@ -202,7 +212,7 @@ def index_lookup(queries: DataFrame, entries: DataFrame, threshold: float = 0.82
     left = q.join(exact.select("qid").distinct(), "qid", "left_anti")
     wide = F.greatest(F.col("q_len") * 0.4, F.lit(3.0))
     distinct = keys.select("key", F.length("key").alias("len")).distinct()
-    near = typo_pairs(left.select("q_key", "q_len").distinct(), distinct, F.ceil(F.col("q_len") - wide), F.floor(F.col("q_len") + wide), (1 - F.lit(threshold)) * F.greatest("q_len", "len") + 1e-9)
+    near = typo_pairs(left.select("q_key", "q_len").distinct(), distinct, F.ceil(F.col("q_len") - wide), F.floor(F.col("q_len") + wide), (1 - F.lit(threshold)) * F.greatest("q_len", "len") + 1e-9, entries.count())
     near = near.withColumn("score", 1 - F.col("d") / F.greatest("q_len", "len")).filter(F.col("score") >= threshold).select("q_key", "key", F.bround("score", 3).alias("score"))
     fuzzy = left.join(near, "q_key").join(keys, "key").select("qid", "seq", "name_ko", "name_original", "score", F.lit(False).alias("same"))
     ranked = exact.union(fuzzy).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "seq")))

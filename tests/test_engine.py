@@ -148,7 +148,9 @@ def test_freeze_is_the_inverse(spark, built):
 QUERIES = ["까베르네", "카베르네 소비뇽", "소비뇽", "몬테", "몬테풀차노", "cabernet", "cabernat", "sauvignon", "Albarino", "xarel-lo", "ㅊ뮫굳ㅅ", "zzzz", "1865", "", "  ", "샤또 딸보", "디켐", "로칠드", "d'abruzzo", "rothschild", "chateau", "yque", "샤토 무통 로칠드 1982", "Montalcin", "a", "마고", "montepulciano abruzo", "!!", None]
 
 
-def test_scan_equals_lookups_by_hand(spark, built, index):
+@pytest.mark.parametrize("most", [matching.BROADCAST_KEYS, 0])
+def test_scan_equals_lookups_by_hand(spark, built, index, monkeypatch, most):
+    monkeypatch.setattr(matching, "BROADCAST_KEYS", most)  # keys to all queries, or dealt by salt
     terms = [r.asDict() for r in searchable(built.terms, "term_seq").orderBy("term_seq").collect()]
     batch = [(k, x, th, kind) for k, (x, th, kind) in enumerate((x, th, kind) for x in QUERIES for th, kind in ((0.8, "all"), (0.95, "all"), (0.6, "g"), (0.85, "p")))]
     hits = {}
