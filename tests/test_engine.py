@@ -280,3 +280,21 @@ def test_numbers_and_staged_tables(spark):
     table = staging.stage(df, "x")
     assert table.count() == 1009 and staging.drop_staged(spark) == 1
     staging._written[:] = kept
+
+
+def test_commands(spark, seeds, tmp_path, capsys):
+    from onoma.__main__ import main
+
+    source, out = str(tmp_path / "seed"), str(tmp_path / "dist")
+    for file, df in seeds.entries.items():
+        files.write_csv(df.orderBy("_seq"), f"{source}/{file}.csv", edit.ENTRY_FIELDS)
+    files.write_csv(seeds.aliases.orderBy("_seq"), f"{source}/aliases.csv", edit.ALIAS_FIELDS)
+    main(["build", source, out])
+    main(["audit", f"{out}/terms"])
+    assert "Montalcino" in capsys.readouterr().out
+    main(["freeze", f"{out}/terms", str(tmp_path / "again")])
+    main(["build", str(tmp_path / "again"), str(tmp_path / "dist2")])
+    assert spark.read.parquet(f"{out}/terms.parquet").count() - spark.read.parquet(str(tmp_path / "dist2/terms.parquet")).count() == 1
+    (tmp_path / "q").write_text("피노 누아르\nzzzz\n", encoding="utf-8")
+    main(["hits", f"{out}/terms", str(tmp_path / "q")])
+    assert "Pinot noir" in capsys.readouterr().out
