@@ -87,7 +87,7 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.
     blocks = blocks.select("doc_id", "line", F.array_sort(F.transform("held", lambda t: F.array_position(by_rank, t).cast("int"))).alias("block"))
     tokens = blocks.select("doc_id", "line", "block", F.posexplode("block").alias("j", "_rank"))
     pairs = tokens.join(F.broadcast(prefixes), F.col("_rank") == F.col("rank"))  # as many rows as the template list has prefix tokens
-    room = 1 + F.least(F.size("template") - F.col("i"), F.size("block") - F.col("j")) - 1
+    room = F.least(F.size("template") - F.col("i"), F.size("block") - F.col("j"))  # tokens from the shared one on
     pairs = pairs.filter((F.size("block") >= F.col("need")) & (F.col("j") <= F.size("block") - F.col("need")) & (room >= F.col("need") - F.least("i", "j")))
     shared = F.size(F.array_intersect("block", "template"))
     found = pairs.filter(shared >= F.col("need")).select("doc_id", "line", "label", (shared / F.size("template")).alias("containment"))

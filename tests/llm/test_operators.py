@@ -99,6 +99,11 @@ def test_mixing(corpus, shard):
     same(got.collect(), mix_sources(docs.repartition(5), docs_per_shard=shard).collect())
 
 
+def test_mixing_without_words(spark):
+    got = mix_sources(spark.createDataFrame([(1, "", "a"), (2, None, None), (3, " ", "a")], "doc_id long, text string, source string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 0, 0, 0.0, 0) for i in (1, 2, 3)]
+
+
 def test_sainte_lague(spark):
     rng = np.random.default_rng(1)
     for seats in (0, 1, 7, 50, 1000):
