@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
@@ -235,16 +235,15 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int) ->
 
     Texts over max_chars are left to others, so that the driver holds 2 x max_docs x max_chars at most.
     """
-    marks = labels.select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropDuplicates(["_d"])
-    marks = marks.filter(F.crc32(F.col("_d").cast("string")) % 3 != 1)
-    # twice the bound by hash, so that few texts meet the labels; classes are cut after the join
-    texts, toxic = [], []
-    for y in (0, 1):
-        ids = marks.filter(F.col("toxic") == y).orderBy(F.xxhash64("_d"), "_d").limit(2 * max_docs)
-        met = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_d")).filter(F.length("text") <= max_chars)
-        rows = met.select("doc_id", "text").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
-        texts += [r.text for r in rows]
-        toxic += [y] * len(rows)
+    marks = labels.select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
+    marks = marks.groupBy("_d").agg(F.max("toxic").alias("toxic")).filter(F.crc32(F.col("_d").cast("string")) % 3 != 1)
+    # twice the bound by hash, so that few texts meet the labels, in one pass for both classes; these are cut after the join
+    order = [F.xxhash64("_d"), F.col("_d")]
+    ids = [marks.filter(F.col("toxic") == y).orderBy(*order).limit(2 * max_docs) for y in (0, 1)]
+    met = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), F.col("doc_id") == F.col("_d")).filter(F.length("text") <= max_chars)
+    ranked = met.groupBy("_d", "toxic").agg(F.min("text").alias("text")).withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(*order)))
+    rows = ranked.filter(F.col("_n") <= max_docs).orderBy("toxic", "_n").select("text", "toxic").collect()
+    texts, toxic = [r.text for r in rows], [r.toxic for r in rows]
     share = marks.agg(F.avg("toxic")).first()[0]
     return texts, toxic, share
 
