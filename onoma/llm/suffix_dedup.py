@@ -296,7 +296,7 @@ def repeated_spans(rows: DataFrame, large: int = LARGE) -> DataFrame:
     chunks = stage(chunks.join(again, "anchor", "left_semi").select(*chunks.columns), "repeated")
     cells = chunks.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*(x for x in chunks.columns if x not in ("anchor", "content")))).alias("one"))
     cells = stage(cells, "cells")
-    groups = cells.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("d")).filter("d > 1")
+    groups = stage(cells.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "groups")
     open_ = cells.join(groups, F.col("anchor") == F.col("_a")).select("anchor", "content", (F.col("c") > 1).alias("whole"), "one.*", (F.col("d") > large).alias("large"))
     open_ = stage(open_, "open")
     n_open, n_large = open_.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("large").cast("long")), F.lit(0))).first()
