@@ -17,26 +17,52 @@ from pyspark.sql import DataFrame
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
+LARGE_SCRIPTS = bytes(range(0xE3, 0xF0))  # first of three bytes: kana, Han, Hangul
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, chunk_low double, chunk_high double, kept boolean"
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the ratio bytes / compressed bytes, by length: (from bytes, lowest, highest).
-
-    Below the first length no verdict is given: a header outweighs the content. The whole
-    text must be in its band; of its fixed chunks at most `bad_share` may be out of the
-    band of a text of a chunk's length.
+    """Limits of the ratio bytes / compressed bytes, by length: (from bytes, lowest, lowest of large scripts, highest).
+
+    Below the first length no verdict is given: a header outweighs the content. The lowest are
+    just under the ratios of clean text of that length, and below 200 bytes there is none, as
+    zstandard stores clean text raw there. Scripts of thousands of characters (kana, Han, Hangul)
+    compress less; a mixed text is held to the mean of the compressed sizes by its share of them.
+    The whole text must be in its band; of its fixed chunks at most `bad_share` may be out of
+    the band of a text of a chunk's length.
     """
 
     level: int = 3
     chunk: int = 4096
     bad_share: float = 0.5
-    limits: tuple[tuple[int, float, float], ...] = ((200, 0.9, 2.8), (1000, 1.1, 4.0), (4000, 1.2, 5.0), (16000, 1.25, 6.0))
-
-    def band(self, n: int) -> tuple[float, float] | None:
+    limits: tuple[tuple[int, float, float, float], ...] = (
+        (60, 0.0, 0.0, 2.4),
+        (200, 1.0, 0.95, 2.8),
+        (300, 1.08, 0.96, 2.8),
+        (400, 1.15, 0.98, 2.8),
+        (600, 1.26, 1.05, 2.8),
+        (800, 1.33, 1.1, 2.8),
+        (1000, 1.38, 1.16, 4.0),
+        (1500, 1.46, 1.23, 4.0),
+        (2000, 1.53, 1.28, 4.0),
+        (4000, 1.7, 1.42, 5.0),
+        (8000, 1.85, 1.54, 5.0),
+        (16000, 2.0, 1.72, 6.0),
+    )
+
+    def band(self, n: int, large: float = 0.0) -> tuple[float, float] | None:
+        """Lowest and highest ratio of n bytes, of which a share `large` is of large scripts."""
         found = [x[1:] for x in self.limits if n >= x[0]]
-        return found[-1] if found else None
+        if not found:
+            return None
+        low, low_large, high = found[-1]
+        return (1 / ((1 - large) / low + large / low_large) if low else 0.0), high
+
+
+def large_share(text: bytes) -> float:
+    """The share of bytes that are of characters of large scripts."""
+    return 3 * (len(text) - len(text.translate(None, LARGE_SCRIPTS))) / max(len(text), 1)
 
 
 def repeated_words(words: list[bytes], width: int = 5) -> int:
@@ -75,19 +101,23 @@ def base_stats(text: bytes) -> tuple[int, int, int, int, int, bool]:
     return len(words), len(text.translate(None, BLANKS + CONTINUATION)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, failed
 
 
-def ratios(text: bytes, bands: Bands, compress) -> tuple[float, list[float]]:
-    """Of the whole text, and of its full chunks (none if it has but one)."""
-    whole = len(text) / len(compress(text)) if text else 0.0
+def chunks_of(text: bytes, bands: Bands) -> list[bytes]:
+    """The full chunks of a text (none if it has but one)."""
     n = len(text) // bands.chunk if len(text) >= 2 * bands.chunk else 0
-    return whole, [bands.chunk / len(compress(text[i * bands.chunk : (i + 1) * bands.chunk])) for i in range(n)]
+    return [text[i * bands.chunk : (i + 1) * bands.chunk] for i in range(n)]
+
+
+def ratio(text: bytes, compress) -> float:
+    return len(text) / len(compress(text)) if text else 0.0
 
 
-def verdict(n_bytes: int, whole: float, chunks: list[float], bands: Bands) -> bool:
-    band = bands.band(n_bytes)
+def verdict(n_bytes: int, whole: float, chunks: list[float], bands: Bands, large: float = 0.0, chunks_large: list[float] | None = None) -> bool:
+    """By the ratios of the whole text and its chunks, and the shares of large scripts in them."""
+    band = bands.band(n_bytes, large)
     if band is None:
         return True
-    low, high = bands.band(bands.chunk) or (0.0, float("inf"))
-    out = sum(not low <= x <= high for x in chunks)
+    limits = [bands.band(bands.chunk, x) or (0.0, float("inf")) for x in chunks_large or [0.0] * len(chunks)]
+    out = sum(not low <= x <= high for x, (low, high) in zip(chunks, limits, strict=True))
     return band[0] <= whole <= band[1] and out <= bands.bad_share * len(chunks)
 
 
@@ -101,8 +131,9 @@ def _score(columns: list[str], bands: Bands):
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 t = t or b""
                 stats = base_stats(t)
-                whole, chunks = ratios(t, bands, compress)
-                keep = not stats[-1] and verdict(len(t), whole, chunks, bands)
+                parts = chunks_of(t, bands)
+                whole, chunks = ratio(t, compress), [ratio(x, compress) for x in parts]
+                keep = not stats[-1] and verdict(len(t), whole, chunks, bands, large_share(t), [large_share(x) for x in parts])
                 rows.append((*stats, whole, min(chunks, default=whole), max(chunks, default=whole), keep))
             made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * 10, [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.bool_()], strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made], [*columns, *names])

@@ -259,6 +259,21 @@ def test_quality_bands(spark):
     assert verdict(10, 99.0, [], Bands()) and not verdict(20_000, 2.0, [9.0, 9.0, 2.0], Bands())
 
 
+def test_quality_rejects_noise_of_all_lengths_and_keeps_large_scripts(spark):
+    rng = np.random.default_rng(1)
+    letters = [chr(x) for x in [*range(48, 58), *range(65, 91), *range(97, 123)]]
+    noise = {n: " ".join("".join(rng.choice(letters, int(k))) for k in rng.integers(3, 11, n // 5))[:n] for n in (900, 2000, 5000, 20_000, 100_000)}
+    base64 = {n: " ".join("".join(rng.choice([*letters, "+", "/"], 76)) for _ in range(n // 77 + 1))[:n] for n in (1000, 9000, 50_000)}
+    weights = 1 / np.arange(1, 1501)  # Han characters as often as in running text, some 9 bits each
+    han = {n: " ".join("".join(chr(0x4E00 + int(x)) for x in rng.choice(1500, 12, p=weights / weights.sum())) for _ in range(n // 37)) for n in (900, 3000, 9000)}
+    rows = [*noise.values(), *base64.values(), *han.values()]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    first = len(noise) + len(base64)
+    assert not any(kept[i] for i in range(first)) and all(kept[i] for i in range(first, first + len(han)))
+    assert not verdict(150, 3.0, [], Bands())  # texts under 200 bytes have a band
+
+
 def test_repeated_words_with_many_distinct_words():
     words = [f"{i}".encode() for i in range(9000)] + [b"0", b"1", b"2", b"3", b"4"]
     assert repeated_words(words) == 10
