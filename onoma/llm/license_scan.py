@@ -1,9 +1,10 @@
-"""License scans: phrases on whole texts, and an exact set-similarity join of lines with templates.
+"""License scans: phrases on whole texts, and an exact set-similarity join of lines and word windows with templates.
 
 Tokens are ordered by the number of documents that hold them, rarest first. A line that
 contains a share `threshold` of a template's tokens has one of the template's rarest ones
 (prefix), enough tokens of its own (length), and enough left after the first that is shared
-(position), so only lines that pass these three are compared in full.
+(position), so only lines that pass these three are compared in full. Notices wrapped over
+lines are found in windows of words that ignore line breaks, by the same prefix.
 """
 
 from __future__ import annotations
@@ -65,11 +66,15 @@ def token_ranks(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
     return {t: i + 1 for i, t in enumerate(sorted(tokens, key=lambda t: (counts.get(t, 0), t)))}
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
+def template_tokens(templates=TEMPLATES) -> list[str]:
+    return sorted({t for _, text in templates for t in python_words(text)})
+
+
+def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, ranks: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, line, label, containment) of each line of docs(doc_id, text) and template that meet the threshold."""
     spark = docs.sparkSession
     sets = [(label, sorted(set(python_words(text)))) for label, text in templates]
-    ranks = token_ranks(docs, sorted({t for _, own in sets for t in own}))
+    ranks = ranks or token_ranks(docs, template_tokens(templates))
     rows = []
     for label, own in sets:
         order, need = sorted(ranks[t] for t in own), math.ceil(threshold * len(own))
@@ -94,11 +99,51 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.
     return found.distinct()
 
 
+def wrapped_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, stretch: int = 2, ranks: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, label, containment): the most that a window of words holds of a template, where it meets the threshold.
+
+    Windows run over line breaks and have `stretch` times as many words as the template. A window
+    that meets the threshold holds a prefix token, so only words near one are looked at, and a
+    row holds no more than the words a window can reach however long the document is.
+    """
+    ranks = ranks or token_ranks(docs, template_tokens(templates))
+    rows = []
+    for label, text in templates:
+        words = python_words(text)
+        order = sorted(ranks[t] for t in set(words))
+        need = math.ceil(threshold * len(order))
+        rows += [(label, order, need, rank, stretch * len(words)) for rank in order[: len(order) - need + 1]]
+    prefixes = docs.sparkSession.createDataFrame(rows, "label string, template array<int>, need int, rank int, reach int")
+    words = {rank: t for t, rank in ranks.items()}
+    heads = sorted({r[3] for r in rows})
+    by_rank = F.array(*(F.lit(words[i + 1]) for i in range(len(words))))
+    most = max(r[4] for r in rows)
+    texts = docs.select("doc_id", text_or_empty().alias("text")).filter(F.col("text").rlike(_anywhere([words[h] for h in heads])))
+    held = F.transform(words_of(F.col("text")), lambda w, i: F.struct(i.alias("at"), F.array_position(by_rank, w).cast("int").alias("rank")))
+    held = texts.select("doc_id", F.filter(held, lambda x: x["rank"] > 0).alias("held"))
+    hits = held.select("doc_id", "held", F.posexplode("held").alias("_i", "_hit")).filter(F.col("_hit.rank").isin(heads))
+    start = F.greatest(F.col("_i") - most, F.lit(0)) + 1  # words of `held` are apart by one at least
+    hits = hits.select("doc_id", F.col("_hit.at").alias("at"), F.col("_hit.rank").alias("_rank"), F.slice("held", start, 2 * most + 1).alias("near"))
+    pairs = hits.join(F.broadcast(prefixes), F.col("_rank") == F.col("rank"))
+    near = F.filter("near", lambda x: F.array_contains("template", x["rank"]) & (F.abs(x["at"] - F.col("at")) < F.col("reach")))
+    pairs = pairs.select("doc_id", "label", "template", "need", "reach", near.alias("near")).filter(F.size(F.array_distinct("near.rank")) >= F.col("need"))
+
+    def shared(s: Column) -> Column:
+        """How many tokens stand in the window that starts at s."""
+        own = F.filter("near", lambda x: (x["at"] >= s["at"]) & (x["at"] < s["at"] + F.col("reach")))
+        return F.size(F.array_distinct(F.transform(own, lambda x: x["rank"])))
+
+    found = pairs.select("doc_id", "label", "need", F.size("template").alias("_all"), F.array_max(F.transform("near", shared)).alias("_shared"))
+    found = found.filter("_shared >= need").select("doc_id", "label", (F.col("_shared") / F.col("_all")).alias("containment"))
+    return found.groupBy("doc_id", "label").agg(F.max("containment").alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs(doc_id, text, ...).
 
     A null text is empty: no words, no labels, score 0. score is 1 where a phrase stands, else the
-    greatest containment found. Rows that repeat a doc_id share the labels of its lines.
+    greatest containment found in a line or in a window over lines. Rows that repeat a doc_id
+    share the labels of its lines.
     """
     docs = docs.select("doc_id", "text")
     text = text_or_empty()
@@ -106,7 +151,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9)
     # the labels are read off the text only where phrases stand
     n_words = F.aggregate("_n", F.lit(0).cast("long"), lambda a, x: a + x)
     base = base.select("doc_id", "_base", n_words.alias("n_words"), (F.size("_n") - 1).cast("long").alias("n_base"), F.element_at("_n", 1).alias("_first"), F.element_at("_n", -1).alias("_tail"))
-    more = template_matches(docs, templates, threshold).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_most"))
+    ranks = token_ranks(docs, template_tokens(templates))
+    found = template_matches(docs, templates, threshold, ranks).select("doc_id", "label", "containment")
+    found = found.unionByName(wrapped_matches(docs, templates, threshold, ranks=ranks))
+    more = found.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_most"))
     joined = base.join(more, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     labels = F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>"))))
     some = F.col("n_base") > 0

@@ -79,6 +79,41 @@ def test_license_join_finds_what_brute_force_finds(corpus):
         assert {tuple(r) for r in template_matches(docs.select("doc_id", "text"), threshold=threshold).collect()} == expected
 
 
+def test_licenses_wrapped_over_lines(spark):
+    import textwrap
+
+    from onoma.llm.common import python_words
+    from onoma.llm.license_scan import TEMPLATES, wrapped_matches
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for _, text in TEMPLATES:
+        for width in (20, 40, 72):
+            rows.append("int a;\n" + "\n".join(f" * {x}" for x in textwrap.wrap("Copyright by Somebody. " + text.capitalize(), width)) + "\n\nint b;")
+    wrapped = len(rows)
+    vocabulary = sorted({t for _, text in TEMPLATES for t in text.split()})
+    for _, text in TEMPLATES:  # far apart, and with words put in and left out
+        rows.append("\n".join(w + " filler" * 30 for w in text.split()))
+        for share in (0.05, 0.3):
+            made = [x for w in text.split() for x in ([w] if rng.random() > share else [str(rng.choice(vocabulary)), "other"])]
+            rows.append("\n".join(" ".join(made[i : i + 3]) for i in range(0, len(made), 3)))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, source string")
+    for threshold in (0.9, 0.6):
+        expected = set()
+        for i, t in enumerate(rows):
+            best = {}
+            for label, text in TEMPLATES:
+                own, n, w = set(python_words(text)), 2 * len(python_words(text)), python_words(t)
+                most = max(len(own & set(w[a : a + n])) for a in range(len(w)))
+                if most >= np.ceil(threshold * len(own)):
+                    best[label] = max(best.get(label, 0.0), most / len(own))
+            expected |= {(i, label, share) for label, share in best.items()}
+        assert {tuple(r) for r in wrapped_matches(docs.select("doc_id", "text"), threshold=threshold).collect()} == expected
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    for i in range(wrapped):
+        assert TEMPLATES[i // 3][0] in got[i].labels.split(",") and got[i].score == 1.0
+
+
 @pytest.mark.parametrize("shard", [4096, 7])
 def test_mixing(corpus, shard):
     rows, docs = corpus
