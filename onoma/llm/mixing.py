@@ -1,9 +1,10 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
+"""Mixing sources to target weights by Sainte-Laguë apportionment of words.
 
 Each source's documents are laid end to end in a seeded order, in shards of a bounded number
-of documents, and cut into blocks of equal size. Blocks are the seats of an apportionment:
-first among sources, by their targets, then among the shards of each source, by size. A shard
-then takes whole rounds of all its blocks and, for the rest, a run of blocks from a seeded start.
+of documents. Words are the seats of an apportionment (blocks of one word, so that small sources
+are met too): first among sources, by their targets, then among the shards of each source, by
+size. A shard then takes whole rounds of all its words and, for the rest, a run of words from a
+seeded start. Seats are not enumerated, so their number costs nothing.
 """
 
 from __future__ import annotations
@@ -64,11 +65,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return by.select("source", "source_size", "n_docs", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 20, docs_per_shard: int = 4096, max_block: int = 1024, max_seats: int = 1 << 20) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 20, docs_per_shard: int = 4096) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of docs(doc_id, text, source, ...).
 
-    A block has total / max_seats words, 1 at least and max_block at most. Shards hold about
-    docs_per_shard documents of a source, dealt by hash, so the windows that lay documents end to
+    Shards hold about docs_per_shard documents of a source, dealt by hash, so the windows that lay documents end to
     end stay small whatever share one source has. Null texts and texts without words have size 0
     and take 0; a null source is a source. Rows that repeat a doc_id are separate rows. An empty
     table gives no rows.
@@ -76,8 +76,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     spark = docs.sparkSession
     sizes = stage(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(TOKEN)).cast("long").alias("size")), "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    block = min(max_block, max(1, -(-total // max_seats)))
-    seats = F.lit(total // block).cast("long")
+    seats = F.lit(total).cast("long")
     targets = stage(source_targets(sizes, weights, most).withColumn("_one", F.lit(0)), "targets")
     quotas = sainte_lague(targets.withColumn("_seats", seats), ["_one"], "target", "_seats", ["source"])
     quotas = quotas.select("source", "source_size", "target", F.col("quota").alias("_quota"), F.ceil(F.col("n_docs") / docs_per_shard).alias("_shards"))
@@ -89,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     rows = rows.withColumns({"_key": key, "_shard": F.pmod(F.shiftright(key, 20), "_shards")})
     shards = rows.groupBy("source", "_shard").agg(F.sum("size").alias("_shard_size"), F.first("_quota").alias("_quota"))
     shards = sainte_lague(shards, ["source"], "_shard_size", "_quota", ["_shard"])
-    n = F.greatest(F.ceil(F.col("_shard_size") / block), F.lit(1)).cast("long")
+    n = F.greatest(F.col("_shard_size"), F.lit(1))
     shards = shards.withColumns({"_n": n, "_take": F.least(F.col("quota"), n * most)})
     shards = shards.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_shard_size", "_n", "_take")
     own = Window.partitionBy("source", "_shard").orderBy("_key", "doc_id", "size")
@@ -97,7 +96,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     rows = rows.join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h")), "left")
     rounds, rest = F.floor(F.col("_take") / F.col("_n")), F.col("_take") % F.col("_n")
     first = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), "_n")
-    rows = rows.withColumns({"_rounds": rounds, "_from": first * block, "_to": F.least((first + rest) * block, F.col("_shard_size")), "_wrap": F.greatest(first + rest - F.col("_n"), F.lit(0)) * block})
+    rows = rows.withColumns({"_rounds": rounds, "_from": first, "_to": F.least(first + rest, F.col("_shard_size")), "_wrap": F.greatest(first + rest - F.col("_n"), F.lit(0))})
 
     def shared(a: Column, b: Column) -> Column:
         """Words of the document between positions a and b of its shard."""

@@ -134,6 +134,21 @@ def test_mixing(corpus, shard):
     same(got.collect(), mix_sources(docs.repartition(5), docs_per_shard=shard).collect())
 
 
+def test_mixing_meets_small_sources_of_a_large_table(spark):
+    sizes = {"a": 5_000_000, "b": 170, "c": 400, "d": 1100, "e": 1500, "f": 2100, "g": 3_000_000}
+    parts = {s: [n // 10] * 9 + [n - n // 10 * 9] for s, n in sizes.items()}
+    rows = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, v in parts.items() for n in v)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int").select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    target = brute.targets((s, n) for _, s, n in rows)
+    of = {i: s for i, s, _ in rows}
+    for shard in (4096, 3):
+        taken = Counter()
+        for r in mix_sources(docs, docs_per_shard=shard).collect():
+            taken[of[r.doc_id]] += r.taken
+        for s in sizes:
+            assert abs(taken[s] - target[s]) <= 3, (s, taken[s], target[s])
+
+
 def test_mixing_without_words(spark):
     got = mix_sources(spark.createDataFrame([(1, "", "a"), (2, None, None), (3, " ", "a")], "doc_id long, text string, source string"))
     assert sorted(tuple(r) for r in got.collect()) == [(i, 0, 0, 0.0, 0) for i in (1, 2, 3)]
