@@ -29,13 +29,13 @@ class Bands:
     just under the ratios of clean text of that length, and below 200 bytes there is none, as
     zstandard stores clean text raw there. Scripts of thousands of characters (kana, Han, Hangul)
     compress less; a mixed text is held to the mean of the compressed sizes by its share of them.
-    The whole text must be in its band; of its fixed chunks at most `bad_share` may be out of
-    the band of a text of a chunk's length.
+    The whole text must be in its band; of the bytes of its fixed chunks at most `bad_share` may
+    be in chunks out of the band of their length. The last chunk is what is left of the text.
     """
 
     level: int = 3
     chunk: int = 4096
-    bad_share: float = 0.5
+    bad_share: float = 0.2
     limits: tuple[tuple[int, float, float, float], ...] = (
         (60, 0.0, 0.0, 2.4),
         (200, 1.0, 0.95, 2.8),
@@ -102,23 +102,23 @@ def base_stats(text: bytes) -> tuple[int, int, int, int, int, bool]:
 
 
 def chunks_of(text: bytes, bands: Bands) -> list[bytes]:
-    """The full chunks of a text (none if it has but one)."""
-    n = len(text) // bands.chunk if len(text) >= 2 * bands.chunk else 0
-    return [text[i * bands.chunk : (i + 1) * bands.chunk] for i in range(n)]
+    """The chunks of a text, the last as long as the rest (none if the text is below a full chunk)."""
+    return [text[i : i + bands.chunk] for i in range(0, len(text), bands.chunk)] if len(text) >= bands.chunk else []
 
 
 def ratio(text: bytes, compress) -> float:
     return len(text) / len(compress(text)) if text else 0.0
 
 
-def verdict(n_bytes: int, whole: float, chunks: list[float], bands: Bands, large: float = 0.0, chunks_large: list[float] | None = None) -> bool:
-    """By the ratios of the whole text and its chunks, and the shares of large scripts in them."""
+def verdict(n_bytes: int, whole: float, chunks: list[float], bands: Bands, large: float = 0.0, parts: list[tuple[int, float]] | None = None) -> bool:
+    """By the ratios of the whole text and its chunks, and `parts`: bytes and share of large scripts of each chunk."""
     band = bands.band(n_bytes, large)
     if band is None:
         return True
-    limits = [bands.band(bands.chunk, x) or (0.0, float("inf")) for x in chunks_large or [0.0] * len(chunks)]
-    out = sum(not low <= x <= high for x, (low, high) in zip(chunks, limits, strict=True))
-    return band[0] <= whole <= band[1] and out <= bands.bad_share * len(chunks)
+    parts = parts or [(bands.chunk, 0.0)] * len(chunks)
+    limits = [bands.band(*x) or (0.0, float("inf")) for x in parts]
+    out = sum(n for (n, _), x, (low, high) in zip(parts, chunks, limits, strict=True) if not low <= x <= high)
+    return band[0] <= whole <= band[1] and out <= bands.bad_share * sum(n for n, _ in parts)
 
 
 def _score(columns: list[str], bands: Bands):
@@ -133,7 +133,7 @@ def _score(columns: list[str], bands: Bands):
                 stats = base_stats(t)
                 parts = chunks_of(t, bands)
                 whole, chunks = ratio(t, compress), [ratio(x, compress) for x in parts]
-                keep = not stats[-1] and verdict(len(t), whole, chunks, bands, large_share(t), [large_share(x) for x in parts])
+                keep = not stats[-1] and verdict(len(t), whole, chunks, bands, large_share(t), [(len(x), large_share(x)) for x in parts])
                 rows.append((*stats, whole, min(chunks, default=whole), max(chunks, default=whole), keep))
             made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * 10, [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.bool_()], strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made], [*columns, *names])

@@ -324,6 +324,17 @@ def test_quality_rejects_noise_of_all_lengths_and_keeps_large_scripts(spark):
     assert not verdict(150, 3.0, [], Bands())  # texts under 200 bytes have a band
 
 
+def test_quality_chunks_cover_the_whole_text(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(chr(97 + int(x)) for x in rng.integers(0, 26, int(n))) for n in rng.integers(2, 9, 3000)]
+    prose = " ".join(vocabulary[min(2999, int(x))] for x in rng.pareto(1, 20_000) * 20)
+    counters = "\n".join(f"item {i} of list {i + 7}" for i in range(3000))
+    texts = [prose[:51_000] + counters[:49_000], prose[:4096] + counters[:3800], prose[:4096] + counters[:4095], prose[:100_000], prose[:7900]]
+    got = quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id: r.kept for r in got} == {0: False, 1: False, 2: False, 3: True, 4: True}
+
+
 def test_repeated_words_with_many_distinct_words():
     words = [f"{i}".encode() for i in range(9000)] + [b"0", b"1", b"2", b"3", b"4"]
     assert repeated_words(words) == 10
