@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+import zstandard
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -149,3 +150,25 @@ def quality(t):
     hit = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
     lines = [x for x in t.split("\n") if TOKEN.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
+
+
+def in_band(raw, limits, level):
+    """Whether bytes compress as their length asks; True below the first length."""
+    of = [x for x in limits if x[0] <= len(raw)]
+    if not of:
+        return True
+    _, low, low_large, high = max(of)
+    share = 3 * sum(0xE3 <= b <= 0xEF for b in raw) / len(raw)
+    least = 1 / ((1 - share) / low + share / low_large) if low else 0
+    return least <= len(raw) / len(zstandard.ZstdCompressor(level=level).compress(raw)) <= high
+
+
+def kept(t, bands):
+    """The verdict on a text: words, the whole text, then its chunks by the bytes that they hold."""
+    raw = (t or "").encode()
+    if quality(t)[-1] or not in_band(raw, bands.limits, bands.level):
+        return False
+    if len(raw) < max(bands.chunk, bands.limits[0][0]):
+        return True
+    parts = [raw[i : i + bands.chunk] for i in range(0, len(raw), bands.chunk)]
+    return sum(len(x) for x in parts if not in_band(x, bands.limits, bands.level)) <= bands.bad_share * len(raw)

@@ -296,6 +296,8 @@ def test_quality(corpus):
     got = quality_rules(docs).collect()
     same(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got), ((d, *brute.quality(t)) for d, t, *_ in rows))
     assert not any(r.kept and r.base_failed for r in got)
+    same(((r.doc_id, r.kept) for r in got), ((d, brute.kept(t, Bands())) for d, t, *_ in rows))
+    assert len({r.kept for r in got}) == 2
 
 
 def test_quality_bands(spark):
