@@ -60,39 +60,101 @@ def key_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).otherwise(1 - weighted_distance(a, b) / longest)
 
 
-def distances(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Weighted distances of aligned strings. Pairs of like length are one block of the table, all in step."""
+def _letters(strings: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all strings end to end, where each starts, and how long it is."""
+    sizes = strings.str.len().to_numpy(dtype=np.int64)
+    return np.frombuffer("".join([*strings, "\0"]).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes, sizes
+
+
+def _block(letters: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray) -> np.ndarray:
+    """A column for each string, filled up with zeros."""
+    codes, starts, sizes = letters
+    row = np.arange(int(sizes[own].max()))[:, None]
+    return np.where(row < sizes[own], codes[np.minimum(starts[own] + row, len(codes) - 1)], np.uint32(0))
+
+
+def _swapped(x: np.ndarray, y: np.ndarray, i: int) -> np.ndarray:
+    """Where letters i - 1 and i of x are two neighbours of y the other way round."""
+    return (x[i] == y[:-1]) & (x[i - 1] == y[1:])
+
+
+def _costs(x: np.ndarray, kind: type) -> np.ndarray:
+    """In tenths of a point."""
+    return np.where(np.isin(x, np.array([ord(c) for c in t.CHEAP], dtype=np.uint32)), 10 * t.CHEAP_COST, 10).astype(kind)
+
+
+def _table(x: np.ndarray, y: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    cx, cy = _costs(x, float) / 10, _costs(y, float) / 10
+    pairs = np.arange(len(la))
+    up2, up = None, np.concatenate((np.zeros((1, len(la))), np.cumsum(cy, axis=0)))
+    found = up[lb, pairs]  # for empty a
+    for i in range(len(x)):
+        cur = np.empty_like(up)
+        cur[0] = up[0] + cx[i]
+        same, other = x[i] == y, np.minimum(up[1:] + cx[i], up[:-1] + 1.0)
+        swap = np.where(_swapped(x, y, i), up2[:-2] + t.SWAP_COST, np.inf) if i else None
+        for j in range(len(y)):
+            cur[j + 1] = np.where(same[j], up[j], np.minimum(other[j], cur[j] + cy[j]))
+            if i and j:
+                cur[j + 1] = np.minimum(cur[j + 1], swap[j - 1])
+        up2, up = up, cur
+        ends = la == i + 1  # each pair's answer stands in the row of its own last letter
+        found[ends] = cur[lb[ends], pairs[ends]]
+    return found
+
+
+def _bounds(x: np.ndarray, y: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """At most the distances, in whole tenths: small numbers, and equal letters may also be left out for less."""
+    cx, cy = _costs(x, np.int16), _costs(y, np.int16)
+    pairs, swap_cost = np.arange(len(la)), np.int16(10 * t.SWAP_COST)
+    up2, up = None, np.concatenate((np.zeros((1, len(la)), np.int16), np.cumsum(cy, axis=0, dtype=np.int16)))
+    found = up[lb, pairs]
+    for i in range(len(x)):
+        cur = np.empty_like(up)
+        cur[0] = up[0] + cx[i]
+        best = np.minimum(up[:-1] + (x[i] != y) * np.int16(10), up[1:] + cx[i])
+        if i and len(y) > 1:
+            np.minimum(best[1:], up2[:-2] + np.where(_swapped(x, y, i), swap_cost, np.int16(1000)), out=best[1:])
+        for j in range(len(y)):
+            np.minimum(best[j], cur[j] + cy[j], out=cur[j + 1])
+        up2, up = up, cur
+        ends = la == i + 1
+        found[ends] = cur[lb[ends], pairs[ends]]
+    return found
+
+
+def _in_blocks(table, a: pd.Series, b: pd.Series, size: int) -> np.ndarray:
+    """table() over all pairs; pairs of like length are one block, all in step."""
+    one, two = _letters(a), _letters(b)
     out = np.zeros(len(a))
-    la, lb = a.str.len().to_numpy(), b.str.len().to_numpy()
-    order = np.lexsort((lb, la))
-    cheap = np.array([ord(c) for c in t.CHEAP], dtype=np.uint32)
-    for at in range(0, len(order), 4096):
-        own = order[at : at + 4096]
-        n, m = int(la[own].max()), int(lb[own].max())
-        x = np.zeros((n, len(own)), np.uint32)
-        y = np.zeros((m, len(own)), np.uint32)
-        for k, i in enumerate(own):
-            x[: la[i], k] = np.frombuffer(a.iat[i].encode("utf-32-le"), np.uint32)
-            y[: lb[i], k] = np.frombuffer(b.iat[i].encode("utf-32-le"), np.uint32)
-        cx, cy = (np.where(np.isin(z, cheap), t.CHEAP_COST, 1.0) for z in (x, y))
-        up2, up = None, np.concatenate((np.zeros((1, len(own))), np.cumsum(cy, axis=0)))
-        pairs = np.arange(len(own))
-        found = up[lb[own], pairs]  # for empty a
-        for i in range(n):
-            cur = np.empty_like(up)
-            cur[0] = up[0] + cx[i]
-            for j in range(m):
-                cur[j + 1] = np.where(x[i] == y[j], up[j], np.minimum(np.minimum(up[j + 1] + cx[i], cur[j] + cy[j]), up[j] + 1.0))
-                if i and j:
-                    swapped = (x[i] == y[j - 1]) & (x[i - 1] == y[j])
-                    cur[j + 1] = np.where(swapped, np.minimum(cur[j + 1], up2[j - 1] + t.SWAP_COST), cur[j + 1])
-            up2, up = up, cur
-            ends = la[own] == i + 1  # each pair's answer stands in the row of its own last letter
-            found[ends] = cur[lb[own][ends], pairs[ends]]
-        out[own] = found
+    order = np.lexsort((two[2], one[2]))
+    for at in range(0, len(order), size):
+        own = order[at : at + size]
+        out[own] = table(_block(one, own), _block(two, own), one[2][own], two[2][own])
+    return out
+
+
+def distances(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Weighted distances of aligned strings."""
+    return _in_blocks(_table, a, b, 4096)
+
+
+def distances_within(a: pd.Series, b: pd.Series, most: pd.Series) -> np.ndarray:
+    """The same where a bound leaves it open whether they are at most `most`; not a number elsewhere."""
+    short = np.maximum(a.str.len(), b.str.len()).to_numpy() < 1000  # bounds are 16 bits wide
+    alive = np.ones(len(a), bool)
+    alive[short] = _in_blocks(_bounds, a[short], b[short], 8192) <= 10 * most[short] + 1e-6
+    out = np.full(len(a), np.nan)
+    if alive.any():
+        out[alive] = distances(a[alive], b[alive])
     return out
 
 
 @F.pandas_udf(DoubleType())
 def weighted_distance_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(distances(a, b))
+
+
+@F.pandas_udf(DoubleType())
+def weighted_distance_within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series(distances_within(a, b, most))

@@ -2,7 +2,7 @@
 
 A batch is (qid long, text string, th double, type string): type is `all` or a one-letter code. Each
 stage is an equi-join on a key, a prefix, a word or a letter group; only fragments that no stage
-answers meet the dictionary in the typo stage, by bands of length and after a bound on letters.
+answers meet the dictionary in the typo stage, by length and one of their rarest letters.
 Ranks are windows per fragment and per query, so no list leaves the executors.
 """
 
@@ -13,14 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from onoma.functions.distance import weighted_distance_arrow
+from onoma.functions import tables as t
+from onoma.functions.distance import weighted_distance_within
 from onoma.functions.text import flat, has_hangul, has_latin, hangul_to_qwerty, jamo_key, query_key_en, tokens_ko, trimmed
-from onoma.operators.index import Index, heavy_letters
+from onoma.operators.index import ANY, Index, beyond, heavy_letters, letter_bits, light_counts, near_band, typo_table
 from onoma.sources.staging import stage
 
 TOP = 10
-#: Keys up to this number, of some 100 bytes each, are broadcast to the typo stage; more are dealt with salts.
-BROADCAST_KEYS = 200_000
 #: Score formulas, (base, weight of the covered share) or a plain score.
 EXACT, PREFIX, TOKEN_KO, TOKEN_KO_PREFIX = 1.0, (0.80, 0.20), 0.95, (0.82, 0.13)
 TOKEN_EN, TOKEN_EN_PREFIX, INSIDE, HEAD = 0.97, (0.84, 0.13), (0.75, 0.20), 0.95
@@ -48,25 +47,67 @@ def _best(pushed: DataFrame, length: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= TOP).select("fid", "rank", "canonical_id", "term_seq", "score", F.col(length).alias("length"))
 
 
-def typo_pairs(open_: DataFrame, keys: DataFrame, low: Column, high: Column, most: Column, n_keys: int) -> DataFrame:
-    """Pairs of open_(q_key, q_len, ..) and distinct keys(key, len) in a band of lengths with distance d <= most.
+def _signs(asked: DataFrame, typo: DataFrame, most: Column) -> DataFrame:
+    """asked(q_key, q_len, len, ..) with `token`: a row for each letter that a key within `most` of that length may be found by.
 
-    The band is a list of lengths that each query asks for, so the join is on equal lengths. Each
-    letter that one key has and the other lacks costs a point at least, unless it is a light
-    one; pairs beyond `most` by that bound need no table. `most` may use q_len and len. There are
-    few lengths, so a join on them alone would have few tasks: up to BROADCAST_KEYS keys (n_keys is their
-    number or more) go to all queries, beyond that each key goes to every salt and each query to one.
+    Every heavy letter that one key has and the other lacks costs a whole point, so a key within
+    `most` has one of any floor(most) + 1 letters of the query. The rarest in the dictionary are
+    asked for (there are as many kinds as the alphabet has letters); a query of fewer letters asks for ANY.
     """
-    bands = open_.withColumn("len", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), high.cast("int")))).withColumn("_q", heavy_letters(F.col("q_key")))
-    keys = keys.withColumn("_k", heavy_letters(F.col("key")))
-    if n_keys <= BROADCAST_KEYS:
-        met = bands.join(F.broadcast(keys), "len").withColumn("most", most)
-    else:
-        salts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = bands.withColumn("_salt", F.pmod(F.xxhash64("q_key"), F.lit(salts)).cast("int")).join(dealt, ["len", "_salt"]).drop("_salt").withColumn("most", most)
-    met = met.filter((F.size(F.array_except("_q", "_k")) <= F.col("most")) & (F.size(F.array_except("_k", "_q")) <= F.col("most"))).drop("_q", "_k")
-    return met.withColumn("d", weighted_distance_arrow("q_key", "key"))
+    kinds = typo.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    own = asked.select("q_key").distinct().withColumn("q_tokens", heavy_letters(F.col("q_key")))
+    each = own.select("q_key", F.explode("q_tokens").alias("token")).join(kinds, "token", "left")
+    order = each.groupBy("q_key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("o"))
+    order = order.select(F.col("q_key").alias("_q"), F.col("o.token").alias("q_tokens"))
+    met = asked.join(order, F.col("q_key") == F.col("_q"), "left").drop("_q").withColumn("q_tokens", F.coalesce("q_tokens", F.array().cast("array<string>")))
+    met = met.withColumns({"most": most, "q_bits": letter_bits("q_tokens"), "q_light": light_counts(F.col("q_key"))}).withColumn("_p", F.floor("most").cast("int") + 1)
+    met = met.withColumn("sign", F.when(F.size("q_tokens") >= F.col("_p"), F.slice("q_tokens", F.lit(1), F.col("_p"))).otherwise(F.array(F.lit(ANY))))
+    return met.withColumn("token", F.explode("sign")).drop("_p", "q_tokens")
+
+
+def _least_distance() -> Column:
+    """What the letters alone cost, wherever they stand: of a query (q_bits, q_light) and a key (bits, light).
+
+    Heavy letters that one side lacks cost a point each, and one of each side go for one. Light
+    ones cost less, and nothing where a heavy one that is left over is replaced by them.
+    """
+    gone = F.bit_count(F.col("q_bits").bitwiseAND(F.bitwise_not("bits"))).cast("double")
+    new = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("q_bits"))).cast("double")
+    less = [F.get("q_light", i) - F.get("light", i) for i in range(len(t.CHEAP))]
+    light_gone, light_new = (sum((F.greatest(sign * x, F.lit(0)) for x in less), F.lit(0)) for sign in (1, -1))
+    free = F.when(gone > new, F.least(gone - new, light_new)).otherwise(F.least(new - gone, light_gone))
+    return F.greatest(gone, new) + t.CHEAP_COST * (light_gone + light_new - free)
+
+
+def typo_pairs(asked: DataFrame, typo: DataFrame, most: Column, on: tuple[str, ...] = ("len",)) -> DataFrame:
+    """Pairs of asked(q_key, q_len, len, ..) and keys of typo_table() that agree in `on`, with distance d <= most.
+
+    An equi-join on length and a letter of the query. A pair that meets by several letters is kept by the
+    first of them; one whose letters alone cost too much needs no table of edits. Both sides are
+    tables of known size, so Spark broadcasts a small one and splits what is hot in large ones;
+    what is left is dealt evenly before the tables of edits are made.
+    """
+    signs = stage(_signs(asked, typo, most), "signs")
+    met = signs.join(typo, [*on, "token"]).filter(_least_distance() <= F.col("most"))
+    met = met.filter(F.when(F.size("sign") == 1, True).otherwise(F.element_at(F.array_intersect("sign", "tokens"), 1) == F.col("token")))
+    met = met.drop("sign", "tokens", "bits", "q_bits", "light", "q_light", "token").repartition("q_key", "key")
+    return met.withColumn("d", weighted_distance_within("q_key", "key", "most")).filter(~F.isnan("d") & (F.col("d") <= F.col("most")))
+
+
+def _lengths_ko(asked: DataFrame) -> DataFrame:
+    """A row for each length of keys that a spelling is compared with."""
+    wide = F.greatest(F.col("q_len") * 0.4, F.lit(3.0))
+    band = F.sequence(F.greatest(F.ceil(F.col("q_len") - wide), F.lit(1)).cast("int"), F.floor(F.col("q_len") + wide).cast("int"))
+    return asked.withColumn("len", F.explode(band))
+
+
+def _lengths_en(asked: DataFrame) -> DataFrame:
+    """A row for each length of whole names that an original is compared with, and one for heads of its own length."""
+    wide = near_band(F.col("q_len"))
+    band = F.sequence(F.greatest(F.ceil(F.col("q_len") - wide), F.lit(1)).cast("int"), F.floor(F.col("q_len") + wide).cast("int"))
+    whole = F.transform(band, lambda n: F.struct(n.alias("len"), F.lit(False).alias("is_head")))
+    heads = F.when(F.col("q_len") >= 3, F.array(F.struct(F.col("q_len").alias("len"), F.lit(True).alias("is_head"))))
+    return asked.withColumn("_x", F.explode(F.concat(whole, F.coalesce(heads, F.array().cast("array<struct<len:int,is_head:boolean>>"))))).select(*asked.columns, "_x.*")
 
 
 def lookup_ko(frags: DataFrame, index: Index) -> DataFrame:
@@ -87,10 +128,7 @@ def lookup_ko(frags: DataFrame, index: Index) -> DataFrame:
     pushed = exact.union(whole.filter("score >= th").select(*columns)).union(words.filter("score >= th").select(*columns))
     pushed = stage(pushed, "pushed")
     left = q.join(pushed.select("fid").distinct(), "fid", "left_anti")
-    wide = F.greatest(F.col("q_len") * 0.4, F.lit(3.0))
-    keys = index.exact_ko.select("key", F.col("ko_len").alias("len")).distinct()
-    asked = left.select("q_key", "q_len", "th").distinct()
-    near = typo_pairs(asked, keys, F.ceil(F.col("q_len") - wide), F.floor(F.col("q_len") + wide), (1 - F.col("th")) * F.greatest("q_len", "len") + 1e-9, index.size)
+    near = typo_pairs(_lengths_ko(left.select("q_key", "q_len", "th").distinct()), index.typo_ko, (1 - F.col("th")) * F.greatest("q_len", "len") + 1e-9)
     near = near.withColumn("score", 1 - F.col("d") / F.greatest("q_len", "len")).filter("score >= th").select(F.col("q_key").alias("_q"), F.col("th").alias("_th"), "key", "score")
     typos = left.join(near, (F.col("q_key") == F.col("_q")) & (F.col("th") == F.col("_th"))).drop("_q", "_th").join(index.exact_ko, "key").filter(of_type())
     return _best(pushed.union(typos.select("fid", "canonical_id", "term_seq", "score", F.lit(2).alias("stage"), "ko_len")), "ko_len")
@@ -118,22 +156,17 @@ def lookup_en(queries: DataFrame, index: Index) -> DataFrame:
     pushed = exact.union(fits.filter("score >= th").drop("th"))
     left = q.join(exact.select("fid").union(fits.select("fid")).distinct(), "fid", "left_anti")
     tolerance = F.least(F.greatest(F.col("th") - TOLERANCE_SLACK, F.lit(TOLERANCE_LOW)), F.lit(TOLERANCE_HIGH))
-    wide = F.greatest(F.col("q_len") * 0.5, F.lit(3.0))
-    asked = stage(left.select("q_key", "q_len", "th").distinct().withColumn("tol", tolerance), "asked")
-    keys = index.exact_en.select("key", F.length("key").alias("len")).distinct()
-    near = typo_pairs(asked, keys, F.ceil(F.col("q_len") - wide), F.floor(F.col("q_len") + wide), (1 - F.col("tol")) * F.greatest("q_len", "len") + 1e-9, index.size)
-    near = near.withColumn("score", 1 - F.col("d") / F.greatest("q_len", "len")).filter("score >= tol").select("q_key", "th", "key", "score")
-    # a name too long for that is compared by its head: heads are shared by many names, so each is compared once
-    beyond = F.floor(F.col("q_len") + wide) + 1
-    sizes = keys.select(F.col("len").alias("long")).distinct()
-    lengths = asked.select("q_len").filter("q_len >= 3").distinct().withColumn("beyond", F.greatest(beyond, F.col("q_len") + 1))
-    cuts = lengths.join(F.broadcast(sizes), F.col("long") >= F.col("beyond")).select("q_len", "long")  # a row for each two lengths
-    heads = cuts.join(keys, F.col("long") == F.col("len")).select("key", F.substring("key", F.lit(1), F.col("q_len")).alias("head"), F.col("q_len").alias("len"))
-    by_head = typo_pairs(asked.filter("q_len >= 3"), heads.select(F.col("head").alias("key"), "len").distinct(), F.col("q_len"), F.col("q_len"), (1 - F.col("tol")) * F.col("q_len") + 1e-9, heads.count())
-    by_head = by_head.withColumn("score", 1 - F.col("d") / F.col("q_len")).filter("score >= tol").select("q_key", "th", F.col("key").alias("head"), "len", (F.col("score") * HEAD).alias("score"))
-    by_head = by_head.join(heads, ["head", "len"]).select("q_key", "th", "key", "score")
-    near = near.union(by_head).select(F.col("q_key").alias("_q"), F.col("th").alias("_th"), "key", "score")
-    typos = left.join(near, (F.col("q_key") == F.col("_q")) & (F.col("th") == F.col("_th"))).drop("_q", "_th").join(index.exact_en, "key").filter(of_type())
+    asked = left.select("q_key", "q_len", "th").distinct().withColumn("tol", tolerance)
+    # a name too long to be compared whole is compared by its head; heads are shared by many names, so each is compared once
+    longer = F.when(F.col("is_head"), F.col("q_len")).otherwise(F.greatest("q_len", "len"))
+    near = typo_pairs(_lengths_en(asked), index.typo_en, (1 - F.col("tol")) * longer + 1e-9, ("is_head", "len"))
+    near = near.filter(~F.col("is_head") | (F.col("longest") >= beyond(F.col("q_len")))).withColumn("score", 1 - F.col("d") / longer).filter("score >= tol")
+    near = stage(near.select(F.col("q_key").alias("_q"), F.col("th").alias("_th"), F.col("q_len").alias("_n"), "is_head", "key", "score"), "near")
+    hit = left.join(near, (F.col("q_key") == F.col("_q")) & (F.col("th") == F.col("_th")))
+    found = ["fid", "canonical_id", "term_seq", "score", "en_len"]
+    typos = hit.filter("not is_head").join(index.exact_en, "key").filter(of_type()).select(*found)
+    by_head = hit.filter("is_head").join(index.prefix_en, "key").filter(of_type() & (F.col("flat_len") >= beyond(F.col("_n")))).withColumn("score", F.col("score") * HEAD).select(*found)
+    typos = typos.union(by_head)
     return _best(pushed.union(typos.select("fid", "canonical_id", "term_seq", "score", F.lit(2).alias("stage"), "en_len")), "en_len")
 
 
@@ -210,9 +243,8 @@ def index_lookup(queries: DataFrame, entries: DataFrame, threshold: float = 0.82
     q = queries.select("qid", jamo_key(F.col("text")).alias("q_key")).withColumn("q_len", F.length("q_key"))
     exact = q.join(keys, F.col("q_key") == F.col("key")).select("qid", "seq", "name_ko", "name_original", F.lit(1.0).alias("score"), F.lit(True).alias("same"))
     left = q.join(exact.select("qid").distinct(), "qid", "left_anti")
-    wide = F.greatest(F.col("q_len") * 0.4, F.lit(3.0))
-    distinct = keys.select("key", F.length("key").alias("len")).distinct()
-    near = typo_pairs(left.select("q_key", "q_len").distinct(), distinct, F.ceil(F.col("q_len") - wide), F.floor(F.col("q_len") + wide), (1 - F.lit(threshold)) * F.greatest("q_len", "len") + 1e-9, entries.count())
+    typo = typo_table(keys.select("key", F.length("key").alias("len")).distinct())
+    near = typo_pairs(_lengths_ko(left.filter("q_len > 0").select("q_key", "q_len").distinct()), typo, (1 - F.lit(threshold)) * F.greatest("q_len", "len") + 1e-9)
     near = near.withColumn("score", 1 - F.col("d") / F.greatest("q_len", "len")).filter(F.col("score") >= threshold).select("q_key", "key", F.bround("score", 3).alias("score"))
     fuzzy = left.join(near, "q_key").join(keys, "key").select("qid", "seq", "name_ko", "name_original", "score", F.lit(False).alias("same"))
     ranked = exact.union(fuzzy).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "seq")))

@@ -56,6 +56,19 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of names(), a name of its own for every part: two made words in each script, one of them shared by some."""
+    key = F.col("p_partkey").cast("long")
+
+    def made(number: Column) -> Column:
+        return F.translate(F.conv(F.pmod(number, F.lit(3_200_000)).cast("string"), 10, 20), "0123456789ABCDEFGHIJ", "aeioulnrstmdkbvpgczh")
+
+    w1, w2 = _word(key % 997, *FIRST), _word(key, *SECOND)
+    english = F.concat(F.initcap(made(key % 997 * 48271 + 160_000)), F.lit(" "), F.initcap(made(key * 1_047_27 + 400_009)), F.lit(" "), F.split("p_name", " ")[1])
+    number = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_partkey")) - 1).alias("rn")
+    return table(spark, sf_dir, "part").select(key.alias("term_seq"), F.concat(F.lit("c"), key.cast("string")).alias("canonical_id"), F.substring(F.lit("grp"), (key % 3 + 1).cast("int"), F.lit(1)).alias("type"), F.concat(w1, F.lit(" "), w2).alias("name_ko"), english.alias("name_en"), w1.alias("w1"), w2.alias("w2"), number)
+
+
 NAMES = f"""names AS (
   SELECT term_seq, 'c' || c AS canonical_id, substr('grp', (c % 3 + 1)::INT, 1) AS type, w1 || ' ' || w2 AS name_ko, name_en, w1, w2, row_number() OVER (ORDER BY term_seq) - 1 AS rn
   FROM (SELECT term_seq, c, {_word_sql("c", FIRST)} AS w1, {_word_sql("term_seq", SECOND)} AS w2, p_name || ' ' || lower(p_type) AS name_en
@@ -73,9 +86,9 @@ _KO = ("name_ko", "w2", "w1", "w1 || w2", "w1 || ' ' || substr(w2, 1, 2)", "'가
 _ALL = (*_EN, *_KO, "'ㄴㅡㅁㅣㅣ'", "'갣 ' || substr(name_en, 1, 1)", "'  '")
 
 
-def queries(spark: SparkSession, sf_dir: str, source: str, key: str, kind: str) -> DataFrame:
-    """(qid, text, th, type): a query for each row of a table, about a name that its key picks."""
-    named = names(spark, sf_dir)
+def queries(spark: SparkSession, sf_dir: str, source: str, key: str, kind: str, named: DataFrame | None = None) -> DataFrame:
+    """(qid, text, th, type): a query for each row of a table, about a name (of names() if not given) that its key picks."""
+    named = names(spark, sf_dir) if named is None else named
     n = named.count()
     rows = table(spark, sf_dir, source).select(F.col(key).cast("long").alias("qid")).withColumn("_rn", F.pmod(F.col("qid") * 5, F.lit(n)))
     met = rows.join(named, F.col("_rn") == F.col("rn"))

@@ -148,13 +148,15 @@ def test_freeze_is_the_inverse(spark, built):
 QUERIES = ["까베르네", "카베르네 소비뇽", "소비뇽", "몬테", "몬테풀차노", "cabernet", "cabernat", "sauvignon", "Albarino", "xarel-lo", "ㅊ뮫굳ㅅ", "zzzz", "1865", "", "  ", "샤또 딸보", "디켐", "로칠드", "d'abruzzo", "rothschild", "chateau", "yque", "샤토 무통 로칠드 1982", "Montalcin", "a", "마고", "montepulciano abruzo", "!!", None]
 
 
-@pytest.mark.parametrize("most", [matching.BROADCAST_KEYS, 0])
-def test_scan_equals_lookups_by_hand(spark, built, index, monkeypatch, most):
-    monkeypatch.setattr(matching, "BROADCAST_KEYS", most)  # keys to all queries, or dealt by salt
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_scan_equals_lookups_by_hand(spark, built, index, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)  # -1: every join as between large tables
     terms = [r.asDict() for r in searchable(built.terms, "term_seq").orderBy("term_seq").collect()]
     batch = [(k, x, th, kind) for k, (x, th, kind) in enumerate((x, th, kind) for x in QUERIES for th, kind in ((0.8, "all"), (0.95, "all"), (0.6, "g"), (0.85, "p")))]
     hits = {}
-    for r in matching.scan(spark.createDataFrame(batch, "qid long, text string, th double, type string"), index).collect():
+    found = matching.scan(spark.createDataFrame(batch, "qid long, text string, th double, type string"), index).collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for r in found:
         hits.setdefault(r.qid, []).append((r["rank"], r.canonical_id, r.term_seq, round(r.score, 9), r.frag, r.is_full, r.via, r.typed))
     kind_of = {x["canonical_id"]: x["type"] for x in terms}
     for qid, x, th, kind in batch:
