@@ -12,6 +12,7 @@ from onoma.operators.edit import ALIAS_FIELDS, ENTRY_FIELDS, FILES
 from onoma.operators.index import build_index
 from onoma.operators.index import dictionary as searchable
 from onoma.sources import seeds
+from onoma.sources.staging import staged
 
 
 def build(spark: SparkSession, source: str, out: str) -> None:
@@ -61,7 +62,9 @@ def main(args: list[str] | None = None) -> None:
     commands.choices["hits"].add_argument("--th", type=float, default=0.85)
     given = vars(parser.parse_args(args))
     run = {"build": build, "audit": check, "freeze": freeze, "hits": hits}[given.pop("command")]
-    run(SparkSession.builder.appName("onoma").getOrCreate(), **given)
+    spark = SparkSession.builder.appName("onoma").getOrCreate()
+    with staged(spark):
+        run(spark, **given)
 
 
 if __name__ == "__main__":

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import lru_cache
+from itertools import pairwise
 
 # ---- Fixed values: foldings of conjoining jamo. Tense and aspirated consonants become plain, finals become
 # initials (clusters by their sounding part; the final ng is kept), vowels lose their semivowel, in one pass.
@@ -38,7 +40,7 @@ TYPE_LABELS = {"p": "생산자", "r": "지역", "g": "품종"}
 SOURCE_PRIORITY = {"manual": 0, "producer": 0, "added": 1, "wikidata": 2, "auto": 3, "alias": 4, "stripped": 5}
 OTHER_PRIORITY = 3
 KO_STOP = ("드", "디", "다", "델", "델라", "데", "뒤", "라", "르", "레", "이", "에", "아", "폰", "돈", "앤", "에이")
-EN_STOP = tuple("de di du da del della dello dei delle la le les el il lo y e et and the of von van d l a au aux dal".split())
+EN_STOP = ("de", "di", "du", "da", "del", "della", "dello", "dei", "delle", "la", "le", "les", "el", "il", "lo", "y", "e", "et", "and", "the", "of", "von", "van", "d", "l", "a", "au", "aux", "dal")
 
 # ---- Fixed values: categories of the audit.
 TRUNCATED, TYPES_ERROR, TYPES_CHECK = "원어명 유실 의심", "타입 중복 (오류 의심)", "타입 중복 (확인 필요)"
@@ -87,6 +89,15 @@ def plain_letters() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@lru_cache
+def plain_ranges(gap: int = 48) -> list[tuple[int, list[str]]]:
+    """(first code point, compatibility decompositions from there on) of the ranges where any holds an ASCII letter or digit."""
+    held = [i for i in range(0x80, sys.maxunicode + 1) if any(c.isascii() and c.isalnum() for c in unicodedata.normalize("NFKD", chr(i)))]
+    cuts = [i for i, (a, b) in enumerate(pairwise(held), 1) if b - a > gap]
+    ends = zip([0, *cuts], [*cuts, len(held)], strict=True)
+    return [(held[a], [unicodedata.normalize("NFKD", chr(c)) for c in range(held[a], held[b - 1] + 1)]) for a, b in ends]
+
+
 def conjoining() -> str:
     """All conjoining jamo, for text that comes decomposed."""
     return "".join(chr(i) for i in range(0x1100, 0x1200))

@@ -206,9 +206,23 @@ def without_ko_prefix(value: Column) -> Column:
     return F.when(F.get(parts, F.lit(0)).isin(*t.KO_PREFIXES) & (F.length(rest) >= 2), rest)
 
 
+def _compatible_letters(value: Column) -> Column:
+    """Compatibility decomposition, as far as it brings out ASCII letters and digits: marks stay behind their letters."""
+
+    def parts(c: Column) -> Column:
+        code, out = F.ascii(c), c
+        for first, letters in t.plain_ranges():
+            out = F.when(code.between(first, first + len(letters) - 1), F.get(_table(letters), (code - first).cast("int"))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(characters(value), parts), "")
+
+
 def slug(value: Column, longest: int = 40, default: str = "edit") -> Column:
-    """A name as part of a path: plain letters and digits, hyphens between."""
-    plain = F.lower(F.regexp_replace(F.regexp_replace(without_accents(value), "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
+    """A name as part of a path: ASCII letters and digits, a hyphen for whatever stands between, marks of letters too."""
+    whole = text(value)
+    letters = F.when(F.octet_length(whole) == F.length(whole), whole).otherwise(_compatible_letters(whole))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(letters, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
     cut = F.substring(plain, 1, longest)
     return F.when(cut == "", default).otherwise(cut)
 

@@ -52,9 +52,18 @@ def wrong_originals(terms: DataFrame) -> DataFrame:
 
 
 def homonyms(terms: DataFrame) -> DataFrame:
-    """Spellings of several originals and several entities, with the first originals."""
-    found = terms.groupBy(text(F.col("name_ko")).alias("name_ko")).agg(F.array_sort(F.collect_set(text(F.col("name_en")))).alias("names"), F.countDistinct("canonical_id").alias("n"))
-    return found.filter((F.size("names") > 1) & (F.col("n") > 1)).select(*_issue(t.HOMONYM, F.col("name_ko"), ": ", _list(F.slice("names", 1, SHOWN_NAMES))))
+    """Spellings of several originals and several entities, with the first originals.
+
+    Whether there are several is told by the least and the greatest; only the few names that are shown
+    are ever listed, however many originals a spelling has.
+    """
+    rows = terms.select(text(F.col("name_ko")).alias("name_ko"), text(F.col("name_en")).alias("name_en"), "canonical_id")
+    several = rows.groupBy(F.col("name_ko").alias("_ko")).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("name_en", "canonical_id") for f in (F.min, F.max)))
+    several = several.filter("min_name_en <> max_name_en and min_canonical_id <> max_canonical_id").select("_ko")
+    names = rows.select("name_ko", "name_en").distinct().join(several, F.col("name_ko") == F.col("_ko"), "left_semi")
+    first = names.withColumn("_n", F.row_number().over(Window.partitionBy("name_ko").orderBy("name_en"))).filter(F.col("_n") <= SHOWN_NAMES)
+    shown = first.groupBy("name_ko").agg(F.array_sort(F.collect_list("name_en")).alias("names"))
+    return shown.select(*_issue(t.HOMONYM, F.col("name_ko"), ": ", _list(F.col("names"))))
 
 
 def audit(terms: DataFrame) -> DataFrame:
@@ -67,9 +76,15 @@ def audit(terms: DataFrame) -> DataFrame:
 
 
 def audit_summary(issues: DataFrame, shown: int = 15) -> DataFrame:
-    """(category, n, first): how many of each, and the first details in order, as a report shows them."""
-    ranked = issues.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("detail")))
-    return ranked.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= shown, F.col("detail")))).alias("first"))
+    """(category, n, first): how many of each, and the first details in order, as a report shows them.
+
+    Counts are partially aggregated, and each task hands on no more than `shown` details of a category.
+    """
+    issues = stage(issues, "issues")
+    counts = issues.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    ranked = issues.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("detail"))).filter(F.col("_n") <= shown)
+    first = ranked.groupBy(F.col("category").alias("_c")).agg(F.array_sort(F.collect_list("detail")).alias("first"))
+    return counts.join(first, F.col("category") == F.col("_c")).select("category", "n", "first")
 
 
 def new_issues(before: DataFrame, after: DataFrame) -> DataFrame:

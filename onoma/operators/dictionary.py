@@ -107,9 +107,13 @@ def build(entries: DataFrame, aliases: DataFrame) -> Dictionary:
     return Dictionary(rows.select("term_seq", *TERM_COLUMNS), orphans)
 
 
-def compact(terms: DataFrame) -> DataFrame:
-    """The records of the runtime file, in order: short names, one-letter types."""
-    return terms.orderBy("term_seq").select(F.col("canonical_id").alias("i"), F.substring("type", 1, 1).alias("t"), F.col("name_ko").alias("ko"), F.col("name_ko_primary").alias("p"), F.col("name_en").alias("en"), F.col("name_display").alias("d"), F.col("tier").alias("tr"), F.col("key_ko").alias("k"), F.col("key_en").alias("ke"))
+#: Fields of the runtime records, and what they hold.
+RECORD = {"i": "canonical_id", "t": "substring(type, 1, 1)", "ko": "name_ko", "p": "name_ko_primary", "en": "name_en", "d": "name_display", "tr": "tier", "k": "key_ko", "ke": "key_en"}
+
+
+def compact(terms: DataFrame, *more: str) -> DataFrame:
+    """The records of the runtime file: short names, one-letter types; and the columns `more`."""
+    return terms.select(*more, *(F.expr(x).alias(c) for c, x in RECORD.items()))
 
 
 def from_compact(records: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
-"""Validated changes of the seeds: a list of them is one transaction, checked change by change.
+"""Validated changes of the seeds: a list of them is one transaction.
 
-Seeds are DataFrames and stay so; a change adds to the plan. What a check needs of them is a count
-or one row. Nothing is written before all checks have passed.
+Seeds are DataFrames and stay so. However long the list, a few jobs read what the seeds have under the
+names that the changes speak of; on that little state the changes are checked in turn, each on what
+those before left. The new seeds are one join and one union. Nothing is written before all
+checks have passed.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onoma.functions import tables as t
@@ -91,49 +94,141 @@ def missing_targets(aliases: DataFrame, entries: DataFrame) -> DataFrame:
     return aliases.join(known, (F.col("type") == F.col("_t")) & (search_key_en(F.col("name_en")) == F.col("_k")), "left_anti")
 
 
-def _check_rules(seeds: Seeds, change: Change, row: dict[str, str]) -> None:
+ALIAS_KEY = ["alias_ko", "name_en", "type"]
+
+
+@dataclass
+class _Known:
+    """What the seeds have under the names that a list of changes speaks of, kept up to date change by change.
+
+    rows: by file and raw key (the name, or an alias's triple) the number of rows and the first of
+    them as (its _seq, its fields); keys: rows of each (file, search key); usable: those of them that the build reads.
+    """
+
+    rows: dict[tuple, tuple[int, tuple[int, dict] | None]]
+    keys: Counter
+    usable: Counter
+    last: dict[str, int]
+
+
+def _raw_key(file: str, row: dict[str, str]) -> tuple:
+    return (file, *(row[c] for c in (ALIAS_KEY if file == "aliases" else ["name_en"])))
+
+
+def _rules(spark: SparkSession, changes: list[Change]) -> list[tuple[list[str], str, str]]:
+    """For each change the fields that break a rule, and the search keys of its name and of the name it replaces: one job."""
+    rows = []
+    for i, c in enumerate(changes):
+        row, match = _clean(c.row, ["name_en", "name_ko", "alias_ko", "type"]), _clean(c.match, ["name_en"])
+        rows.append((i, c.file == "aliases", row["alias_ko"] if c.file == "aliases" else row["name_ko"], row["name_en"], row["type"], match["name_en"]))
+    asked = spark.createDataFrame(rows, "i int, is_alias boolean, ko string, en string, type string, old string")
+    errors = F.when(F.col("is_alias"), alias_errors(F.col("ko"), F.col("en"), F.col("type"))).otherwise(entry_errors(F.col("ko"), F.col("en")))
+    found = asked.select("i", errors.alias("errors"), search_key_en(F.col("en")).alias("key"), search_key_en(F.col("old")).alias("old")).collect()  # a row for each change
+    return [(r.errors, r.key, r.old) for r in sorted(found, key=lambda r: r.i)]
+
+
+def _known(seeds: Seeds, changes: list[Change], rules: list[tuple[list[str], str, str]]) -> _Known:
+    """Three jobs, over all files: rows come back for the spellings of the names that the changes speak of, and no others."""
     spark = seeds.aliases.sparkSession
-    one = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} string" for c in row))
-    if change.file == "aliases":
-        errors = one.select(alias_errors(F.col("alias_ko"), F.col("name_en"), F.col("type"))).first()[0]
-    else:
-        errors = one.select(entry_errors(F.col("name_ko"), F.col("name_en"))).first()[0]
+    file_of = {type_: file for file, type_ in FILES.items()}
+    wanted, triples = set(), set()
+    for c, (_, key, old) in zip(changes, rules, strict=True):
+        file = file_of.get(_clean(c.row, ["type"])["type"]) if c.file == "aliases" else c.file
+        wanted |= {(file, key), (file, old)} if file in seeds.entries else set()
+        if c.file == "aliases":
+            triples |= {tuple(_clean(x, ALIAS_KEY).values()) for x in (c.row, c.match)}
+    known = _Known({}, Counter(), Counter(), {})
+    read = {f: seeds.table(f) for f in [*seeds.entries, "aliases"]}
+    lasts = reduce(DataFrame.union, (df.agg(F.lit(f).alias("file"), F.max("_seq").alias("last")) for f, df in read.items()))
+    known.last = {r.file: -1 if r["last"] is None else r["last"] for r in lasts.collect()}  # a row for each file
+
+    def first(fields: list[str]) -> list[Column]:
+        return [F.count(F.lit(1)).alias("n"), F.min_by(F.struct("_seq", *fields), "_seq").alias("first")]
+
+    if wanted:
+        rows = reduce(DataFrame.unionByName, (df.select(F.lit(f).alias("_file"), *ENTRY_FIELDS, "_seq") for f, df in read.items() if f != "aliases"))
+        usable = (F.trim(F.coalesce("name_en", F.lit(""))) != "") & (F.trim(F.coalesce("name_ko", F.lit(""))) != "")
+        rows = rows.withColumns({"_key": search_key_en(F.col("name_en")), "_usable": usable.cast("int")})
+        rows = rows.join(F.broadcast(spark.createDataFrame(sorted(wanted), "_file string, _key string")), ["_file", "_key"], "left_semi")  # two rows for a change at most
+        for r in rows.groupBy("_file", "_key", "name_en").agg(*first(ENTRY_FIELDS), F.sum("_usable").alias("usable")).collect():
+            known.rows[r["_file"], r.name_en or ""] = (r.n, (r["first"]["_seq"], {c: r["first"][c] or "" for c in ENTRY_FIELDS}))
+            known.keys[r["_file"], r["_key"]] += r.n
+            known.usable[r["_file"], r["_key"]] += r.usable
+    if triples:
+        asked = F.broadcast(spark.createDataFrame(sorted(triples), ", ".join(f"{c} string" for c in ALIAS_KEY)))
+        for r in read["aliases"].join(asked, ALIAS_KEY, "left_semi").groupBy(*ALIAS_KEY).agg(*first(ALIAS_FIELDS)).collect():
+            known.rows["aliases", r.alias_ko, r.name_en, r.type] = (r.n, (r["first"]["_seq"], {c: r["first"][c] or "" for c in ALIAS_FIELDS}))
+    return known
+
+
+def _one(known: _Known, change: Change, rule: tuple[list[str], str, str]) -> tuple[int, dict[str, str], dict[str, str] | None]:
+    """(_seq, new row, row before or None) of a change, which `known` has afterwards; ChangeError if a rule is broken."""
+    errors, key, old_key = rule
+    file, is_alias = change.file, change.file == "aliases"
+    row = _clean(change.row, ALIAS_FIELDS if is_alias else ENTRY_FIELDS)
     if errors:
         raise ChangeError(f"{errors[0]} breaks a rule of its field", errors[0])
-    if change.file == "aliases" and missing_targets(one, seeds.all_entries()).count():
+    if is_alias and not known.usable[{type_: f for f, type_ in FILES.items()}[row["type"]], key]:
         raise ChangeError("no entry has the alias's type and name; add the entry first", "name_en")
+    if change.action == "add":
+        if known.rows.get(_raw_key(file, row), (0,))[0] if is_alias else known.keys[file, key]:
+            raise ChangeError("there is such a row already; edit it instead", "alias_ko" if is_alias else "name_en")
+        known.last[file] += 1
+        place, before = known.last[file], None
+    elif change.action == "edit":
+        if not change.match:
+            raise ChangeError("an edit must name the row it replaces", "match")
+        raw = _raw_key(file, _clean(change.match, ALIAS_KEY))
+        n, first = known.rows.get(raw, (0, None))
+        if n != 1:
+            raise ChangeError("several rows match" if n else "no row matches", "match")
+        place, before = first
+        del known.rows[raw]
+        if not is_alias:
+            known.keys[file, old_key] -= 1
+            known.usable[file, old_key] -= bool(before["name_en"].strip() and before["name_ko"].strip())
+    else:
+        raise ChangeError(f"unknown action {change.action}", "action")
+    n, held = known.rows.get(_raw_key(file, row), (0, None))
+    known.rows[_raw_key(file, row)] = (n + 1, min((x for x in (held, (place, row)) if x), key=lambda x: x[0]))
+    if not is_alias:
+        known.keys[file, key] += 1
+        known.usable[file, key] += 1
+    return place, row, before
+
+
+def changed(seeds: Seeds, changes: list[Change]) -> tuple[Seeds, list[dict]]:
+    """The seeds after all changes, each made on what those before left, with {before, after} of each; or ChangeError of the first that fails."""
+    if not changes:
+        raise ChangeError("there are no changes", "changes")
+    spark = seeds.aliases.sparkSession
+    known_files = {*seeds.entries, "aliases"}
+    sound = next((i for i, c in enumerate(changes) if c.file not in known_files), len(changes))
+    rules = _rules(spark, changes[:sound]) if sound else []
+    known = _known(seeds, changes[:sound], rules) if sound else None
+    old_last = dict(known.last) if known else {}
+    done = [_one(known, c, rule) for c, rule in zip(changes, rules, strict=False)]
+    if sound < len(changes):
+        raise ChangeError(f"unknown file {changes[sound].file}", "file")
+    final: dict[str, dict[int, dict]] = {}
+    for c, (place, row, _) in zip(changes, done, strict=True):
+        final.setdefault(c.file, {})[place] = row
+    now = seeds
+    for file, rows in final.items():
+        fields = ALIAS_FIELDS if file == "aliases" else ENTRY_FIELDS
+        new = spark.createDataFrame([(*(r[c] for c in fields), place) for place, r in rows.items()], ", ".join(f"{c} string" for c in fields) + ", _seq long")
+        added = new.filter(F.col("_seq") > old_last[file])
+        edits = F.broadcast(new.select(F.col("_seq").alias("_at"), F.struct(*fields).alias("_new")))  # a row for each change at most
+        df = seeds.table(file).join(edits, F.col("_seq") == F.col("_at"), "left")
+        df = df.select(*(F.when(F.col("_at").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in fields), "_seq")
+        now = now.with_table(file, df.unionByName(added))
+    return now, [{"before": before, "after": row} for _, row, before in done]
 
 
 def apply_change(seeds: Seeds, change: Change) -> tuple[Seeds, dict]:
-    """The seeds with one row added or replaced in its place, and {before, after}; ChangeError if a rule is broken."""
-    if change.file not in (*FILES, "aliases"):
-        raise ChangeError(f"unknown file {change.file}", "file")
-    fields = ALIAS_FIELDS if change.file == "aliases" else ENTRY_FIELDS
-    key = ["alias_ko", "name_en", "type"] if change.file == "aliases" else ["name_en"]
-    row, df = _clean(change.row, fields), seeds.table(change.file)
-    spark = df.sparkSession
-    _check_rules(seeds, change, row)
-    if change.action == "add":
-        if change.file == "aliases":
-            same = reduce(Column.__and__, (F.col(c) == row[c] for c in key))
-        else:
-            same = search_key_en(F.col("name_en")) == search_key_en(F.lit(row["name_en"]))
-        if df.filter(same).limit(1).count():
-            raise ChangeError("there is such a row already; edit it instead", key[0])
-        last = df.agg(F.coalesce(F.max("_seq"), F.lit(-1))).first()[0]
-        new = spark.createDataFrame([(*row.values(), last + 1)], ", ".join(f"{c} string" for c in fields) + ", _seq long")
-        return seeds.with_table(change.file, df.unionByName(new)), {"before": None, "after": row}
-    if change.action != "edit":
-        raise ChangeError(f"unknown action {change.action}", "action")
-    if not change.match:
-        raise ChangeError("an edit must name the row it replaces", "match")
-    wanted = _clean(change.match, key)
-    hits = df.filter(reduce(Column.__and__, (F.col(c) == wanted[c] for c in key))).limit(2).collect()
-    if len(hits) != 1:
-        raise ChangeError("no row matches" if not hits else "several rows match", "match")
-    place = F.col("_seq") == hits[0]["_seq"]
-    edited = df.select(*(F.when(place, F.lit(row[c])).otherwise(F.col(c)).alias(c) for c in fields), "_seq")
-    return seeds.with_table(change.file, edited), {"before": {c: hits[0][c] or "" for c in fields}, "after": row}
+    """changed() of one change."""
+    now, diffs = changed(seeds, [change])
+    return now, diffs[0]
 
 
 @dataclass(frozen=True)
@@ -147,23 +242,21 @@ class Result:
 
 def apply_changes(seeds: Seeds, changes: list[Change]) -> Result:
     """All changes, each on what those before left, or none: the first error ends it. With the issues they add."""
-    if not changes:
-        raise ChangeError("there are no changes", "changes")
-    now, diffs = seeds, []
-    for change in changes:
-        now, diff = apply_change(now, change)
-        diffs.append({"file": change.file, "action": change.action, "diff": diff})
+    now, diffs = changed(seeds, changes)
     dictionary = now.build()
     before, after = audit(seeds.build().terms), audit(dictionary.terms)
-    return Result(now, diffs, dictionary, new_issues(before, after), issue_counts(before, after))
+    return Result(now, [{"file": c.file, "action": c.action, "diff": d} for c, d in zip(changes, diffs, strict=True)], dictionary, new_issues(before, after), issue_counts(before, after))
 
 
 def upsert(entries: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A batch of rows by name_en as one plan: (entries with rows replaced in place or appended, rejected changes).
 
-    entries and changes have ENTRY_FIELDS and _seq. Changes that break a field's rule, or whose key an entry
-    of another name has, are rejected with `errors`; of several for one name the last holds.
+    entries and changes have ENTRY_FIELDS and _seq. Fields of changes are trimmed, null is empty. Changes that
+    break a field's rule, or whose key an entry of another name has, are rejected with `errors`; of
+    several for one name the last holds. For tables of changes of any size; a list that must hold
+    as a whole goes to apply_changes().
     """
+    changes = changes.select(*(F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ENTRY_FIELDS), "_seq")
     known = entries.select(search_key_en(F.col("name_en")).alias("_k"), F.col("name_en").alias("_name")).groupBy("_k").agg(F.min("_name").alias("_name"))
     checked = changes.withColumn("_key", search_key_en(F.col("name_en"))).join(known, F.col("_key") == F.col("_k"), "left")
     taken = F.when(F.col("_name").isNotNull() & (F.col("_name") != F.col("name_en")), F.array(F.lit("name_en"))).otherwise(F.array().cast("array<string>"))

@@ -328,16 +328,16 @@ def _asked(spark, sf, source, key, kind):
 _RANKED = "SELECT fid AS qid, rank::INT AS rank, canonical_id, term_seq, round(score, 6) AS score FROM top"
 
 
-@query(f"WITH RECURSIVE {d.NAMES}, {d.queries_sql('nation', 'n_nationkey', 'ko')}, {_KO_TERMS}, {_FRAG_KO}, {_ko_pushed('asked')}, {_ko_typos()}, {_top('ko_all', 'klen', 'top')} {_RANKED}")
+@query(f"WITH RECURSIVE {d.NAMES}, {d.queries_sql('customer', 'c_custkey', 'ko')}, {_KO_TERMS}, {_FRAG_KO}, {_ko_pushed('asked')}, {_ko_typos()}, {_top('ko_all', 'klen', 'top')} {_RANKED}")
 def lookup_top10(spark, sf):
     """M5 to M9: Korean spellings, typos included."""
-    return _score(matching.lookup_ko(_asked(spark, sf, "nation", "n_nationkey", "ko"), _index(spark, sf))).select(F.col("fid").alias("qid"), "rank", "canonical_id", "term_seq", "score")
+    return _score(matching.lookup_ko(_asked(spark, sf, "customer", "c_custkey", "ko"), _index(spark, sf))).select(F.col("fid").alias("qid"), "rank", "canonical_id", "term_seq", "score")
 
 
-@query(f"WITH RECURSIVE {d.NAMES}, {d.queries_sql('nation', 'n_nationkey', 'en')}, en_{_EN_TERMS}, {_FRAG_KO}, {_en_pushed('asked')}, {_en_typos()}, {_top('en_all', 'elen', 'top')} {_RANKED}")
+@query(f"WITH RECURSIVE {d.NAMES}, {d.queries_sql('customer', 'c_custkey', 'en')}, en_{_EN_TERMS}, {_FRAG_KO}, {_en_pushed('asked')}, {_en_typos()}, {_top('en_all', 'elen', 'top')} {_RANKED}")
 def lookup_en_top10(spark, sf):
     """Original names, typos included."""
-    return _score(matching.lookup_en(_asked(spark, sf, "nation", "n_nationkey", "en"), _index(spark, sf))).select(F.col("fid").alias("qid"), "rank", "canonical_id", "term_seq", "score")
+    return _score(matching.lookup_en(_asked(spark, sf, "customer", "c_custkey", "en"), _index(spark, sf))).select(F.col("fid").alias("qid"), "rank", "canonical_id", "term_seq", "score")
 
 
 def _frags_sql(source: str) -> str:
@@ -363,10 +363,10 @@ _FRAG_IDS = "asked AS (SELECT qid * 1000 + fno AS fid, text, th, type, allow_pre
 _SCAN_KO = f"{_FRAG_IDS}, {_ko_pushed('asked')}, {_ko_typos()}, {_top('ko_all', 'klen', 'ko_top')}, {_MERGED}"
 
 
-@query(f"WITH RECURSIVE {d.NAMES}, {d.queries_sql('nation', 'n_nationkey', 'ko')}, {_KO_TERMS}, {_frags_sql('queries')}, {_SCAN_KO} SELECT qid, rank::INT AS rank, canonical_id, term_seq, round(score, 6) AS score, frag, is_full FROM spelled")
+@query(f"WITH RECURSIVE {d.NAMES}, {d.queries_sql('customer', 'c_custkey', 'ko')}, {_KO_TERMS}, {_frags_sql('queries')}, {_SCAN_KO} SELECT qid, rank::INT AS rank, canonical_id, term_seq, round(score, 6) AS score, frag, is_full FROM spelled")
 def scan_fragments(spark, sf):
     """M13, M14."""
-    q = d.queries(spark, sf, "nation", "n_nationkey", "ko").withColumnRenamed("type", "q_type")
+    q = d.queries(spark, sf, "customer", "c_custkey", "ko").withColumnRenamed("type", "q_type")
     return _score(matching.scan_ko(q, _index(spark, sf)))
 
 
@@ -404,7 +404,7 @@ _ENTRY_KEYS = f"e AS (SELECT term_seq AS seq, name_ko, name_en, {s.jamo('name_ko
 
 
 @query(
-    f"WITH RECURSIVE {d.NAMES}, {d.queries_sql('nation', 'n_nationkey', 'ko')}, {_ENTRY_KEYS}, q AS (SELECT qid, {s.jamo('text')} AS qk FROM queries), same AS (SELECT qid, seq, name_ko, name_en, 1.0::DOUBLE AS score, true AS same FROM q JOIN e ON qk = k), "
+    f"WITH RECURSIVE {d.NAMES}, {d.queries_sql('customer', 'c_custkey', 'ko')}, {_ENTRY_KEYS}, q AS (SELECT qid, {s.jamo('text')} AS qk FROM queries), same AS (SELECT qid, seq, name_ko, name_en, 1.0::DOUBLE AS score, true AS same FROM q JOIN e ON qk = k), "
     f"near AS (SELECT qid, qk AS a, k AS b, seq, name_ko, name_en FROM q JOIN e ON abs(length(k) - length(qk)) <= greatest(length(qk) * 0.4::DOUBLE, 3) WHERE qid NOT IN (SELECT qid FROM same)), pairs AS (SELECT DISTINCT a, b FROM near), {s.distances('pairs')}, "
     "found AS (SELECT * FROM same UNION ALL SELECT qid, seq, name_ko, name_en, round_even(1 - d / greatest(length(a), length(b)), 3), false FROM near JOIN dist USING (a, b) WHERE 1 - d / greatest(length(a), length(b)) >= 0.82::DOUBLE) "
     "SELECT qid, rank::INT AS rank, name_ko, name_en AS name_original, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM found) WHERE same OR rank <= 5"
@@ -412,7 +412,7 @@ _ENTRY_KEYS = f"e AS (SELECT term_seq AS seq, name_ko, name_en, {s.jamo('name_ko
 def library_index(spark, sf):
     """M16, SC11."""
     named = d.names(spark, sf).select(F.col("term_seq").alias("seq"), "name_ko", F.col("name_en").alias("name_original"))
-    return matching.index_lookup(d.queries(spark, sf, "nation", "n_nationkey", "ko"), named)
+    return matching.index_lookup(d.queries(spark, sf, "customer", "c_custkey", "ko"), named)
 
 
 # ---- audit ----

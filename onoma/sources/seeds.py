@@ -108,9 +108,13 @@ def write_csv(df: DataFrame, path: str, columns: list[str], mark: bool = True) -
 
 
 def write_compact(terms: DataFrame, path: str) -> None:
-    """The runtime file: one compact JSON array in the folder `path`."""
-    whole = compact(terms).coalesce(1).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
-    whole.write.mode("overwrite").text(path)
+    """The runtime file: one JSON array in the folder `path`, a record a line, written by one task without holding it."""
+    least = terms.agg(F.min("term_seq")).first()[0]
+    records = compact(terms.withColumn("_n", F.col("term_seq")), "_n")
+    head = F.when(F.col("_n") == least, "[").otherwise(",") if least is not None else F.lit("")
+    lines = records.orderBy("_n").select(F.concat(head, F.to_json(F.struct(*(c for c in records.columns if c != "_n")))).alias("value"))
+    end = terms.sparkSession.createDataFrame([("]" if least is not None else "[]",)], "value string")
+    lines.coalesce(1).union(end.coalesce(1)).coalesce(1).write.mode("overwrite").text(path)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,25 +29,46 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, for drop_staged() to delete."""
+    path = f"{shared_dir(spark)}/onoma/{uuid.uuid4().hex}-{label}"
+    _written.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and the plan, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/onoma/{uuid.uuid4().hex}-{label}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete all tables that stage() has written in this process; for when results have been read or written."""
-    jvm, done = spark.sparkContext._jvm, len(_written)
-    for path in _written:
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all that was staged in this process; for when results have been read or written."""
+    done = len(_written)
+    _delete(spark, _written)
     _written.clear()
     return done
 
 
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end: results must be read or written before. Not for use by several threads at once."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _delete(spark, _written[before:])
+        del _written[before:]
+
+
 def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """df with `name`, its place in a total order from 1, without passing all rows through one task.
 

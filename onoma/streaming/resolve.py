@@ -13,15 +13,20 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from onoma.operators.index import Index
 from onoma.operators.matching import scan
+from onoma.sources.staging import staged
 
 
 def resolve_stream(queries: DataFrame, index: Index, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    """A writer that gives sink(hits, batch_id) for each micro-batch of queries(qid, text, th, type); the caller starts it."""
+    """A writer that gives sink(hits, batch_id) for each micro-batch of queries(qid, text, th, type); the caller starts it.
+
+    sink must have read or written the hits when it returns: what the batch staged is deleted then.
+    """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         held = rows.persist()
         try:
-            sink(scan(held, index), batch_id)
+            with staged(rows.sparkSession):  # the shared folder does not grow with the number of batches
+                sink(scan(held, index), batch_id)
         finally:
             held.unpersist()
 
