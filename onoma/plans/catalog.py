@@ -16,6 +16,8 @@ from onoma.operators import edit, matching
 from onoma.operators.index import build_index
 from onoma.plans import sql as s
 from onoma.plans import tables as d
+from onoma.sources import seeds as files
+from onoma.sources.staging import numbered, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +100,25 @@ def tokens(spark, sf):
     return d.entries(spark, sf).select("_seq", F.array_join(text.tokens_ko(F.col("name_ko")), "|").alias("words"), F.array_join(text.token_keys(F.col("name_ko")), "|").alias("word_keys"), F.array_join(F.split(text.key_en(F.col("name_en")), " "), "|").alias("en_words"))
 
 
+_COMPAT = [(c, t.compatible(c)) for c in t.conjoining() if t.compatible(c) != c]
+
+
+@query(f"WITH {d.ENTRIES} SELECT _seq, translate({s.jamo('name_ko')}, '{''.join(a for a, _ in _COMPAT)}', '{''.join(b for _, b in _COMPAT)}') AS letters FROM entries")
+def compatibility_letters(spark, sf):
+    """F10a on keys, which are conjoining jamo."""
+    return d.entries(spark, sf).select("_seq", text.compatibility_jamo(text.jamo_key(F.col("name_ko"))).alias("letters"))
+
+
+_PARTS = f"list_distinct(list_concat(list_filter(string_split({s.key_en('x')}, ' '), lambda w: w <> ''), list_filter(string_split_regex(lower(strip_accents(x)), '[^a-z0-9]+'), lambda w: length(w) >= 3)))"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort({_PARTS}), '|') AS words FROM (SELECT p_partkey, {_HONORED} AS x FROM part)")
+def english_tokens(spark, sf):
+    """Words of keys, and of names as written, honorifics too."""
+    named = d.table(spark, sf, "part").select("p_partkey", F.expr(_HONORED).alias("x"))
+    return named.select("p_partkey", F.array_join(F.array_sort(text.tokens_en(text.key_en(F.col("x")), F.col("x"))), "|").alias("words"))
+
+
 def _stopped(x: str, words: tuple[str, ...], least: int) -> str:
     return f"list_filter({x}, lambda w: length(w) >= {least} AND NOT list_contains({s._list(list(words))}, w))"
 
@@ -114,7 +135,10 @@ def audit_words(spark, sf):
     return said.select("_seq", F.array_join(text.audit_words_ko(F.col("x")), "|").alias("ko_words"), F.array_join(text.audit_words_en(F.col("y")), "|").alias("en_words"))
 
 
-@query("SELECT doc_id, CASE WHEN x = '' THEN 'edit' ELSE x END AS slug FROM (SELECT doc_id, substr(lower(regexp_replace(regexp_replace(strip_accents(coalesce(text, '')), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 40) AS x FROM documents)")
+_SLUG_LETTERS = "array_to_string(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || '-' ELSE c END), '')"
+
+
+@query(f"SELECT doc_id, CASE WHEN x = '' THEN 'edit' ELSE x END AS slug FROM (SELECT doc_id, substr(lower(regexp_replace(regexp_replace({_SLUG_LETTERS}, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 40) AS x FROM documents)")
 def slugs(spark, sf):
     """F16."""
     return d.table(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
@@ -142,10 +166,8 @@ pairs AS (SELECT DISTINCT a, b FROM (SELECT k AS a, lead(k) OVER (ORDER BY name_
 @query(f"WITH RECURSIVE {_SPELLED}, {s.distances('pairs')} SELECT a, b, round(1 - d / greatest(length(a), length(b)), 6) AS similarity FROM dist")
 def similarity_pairs(spark, sf):
     """F4 as a native column: keys of neighbouring spellings."""
-    from pyspark.sql import Window
-
-    spelled = d.entries(spark, sf).select("name_ko").distinct().withColumn("a", text.jamo_key(F.col("name_ko")))
-    pairs = spelled.withColumn("b", F.lead("a").over(Window.partitionBy(F.lit(0)).orderBy("name_ko"))).filter("b is not null").select("a", "b").distinct()
+    spelled = numbered(d.entries(spark, sf).select("name_ko").distinct().withColumn("a", text.jamo_key(F.col("name_ko"))), "n", "name_ko")
+    pairs = spelled.join(spelled.select((F.col("n") - 1).alias("n"), F.col("a").alias("b")), "n").select("a", "b").distinct()
     return pairs.select("a", "b", F.round(distance.key_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
@@ -239,6 +261,76 @@ def freeze_aliases(spark, sf):
     return build.freeze(_built(spark, sf).terms)[1]
 
 
+# ---- sources and sinks: files of the shared folder, written and read back ----
+
+_PADDED = f"""padded AS (SELECT type, CASE WHEN _seq % 17 = 0 THEN ' ' ELSE ' ' || name_ko END AS name_ko, CASE WHEN _seq % 19 = 0 THEN 'NA' WHEN _seq % 23 = 0 THEN name_en || ', "x"' ELSE name_en || ' ' END AS name_en, region_group, CASE WHEN _seq % 3 = 0 THEN '' ELSE ko_source END AS ko_source, _seq FROM entries)"""
+_READ = "SELECT type, trim(name_ko) AS name_ko, trim(name_en) AS name_en, region_group, CASE ko_source WHEN '' THEN 'manual' ELSE ko_source END AS ko_source, 0 AS is_alias, row_number() OVER (ORDER BY list_position(['grape', 'region', 'producer'], type), _seq) AS place FROM padded"
+
+
+def _seed_folder(spark, sf) -> str:
+    """A folder of seed files: parts with blanks around names, names like NA, quotes and commas; aliases of customers."""
+    folder = scratch(spark, "seeds")
+    spelled = F.expr("CASE WHEN _seq % 17 = 0 THEN ' ' ELSE ' ' || name_ko END")
+    named = F.expr("""CASE WHEN _seq % 19 = 0 THEN 'NA' WHEN _seq % 23 = 0 THEN name_en || ', "x"' ELSE name_en || ' ' END""")
+    rows = d.entries(spark, sf).select("type", named.alias("name_en"), spelled.alias("name_ko"), F.lit("").alias("tier"), "region_group", F.expr("CASE WHEN _seq % 3 = 0 THEN '' ELSE ko_source END").alias("ko_source"), F.lit("").alias("note"), "_seq")
+    for file, type_ in edit.FILES.items():
+        files.write_csv(rows.filter(F.col("type") == type_).orderBy("_seq"), f"{folder}/{file}.csv", edit.ENTRY_FIELDS)
+    files.write_csv(d.aliases(spark, sf).withColumn("note", F.lit("")).orderBy("_seq"), f"{folder}/aliases.csv", edit.ALIAS_FIELDS)
+    return folder
+
+
+@query(f"WITH {d.ENTRIES}, {_PADDED} SELECT * FROM ({_READ}) WHERE name_ko <> '' AND name_en <> ''".replace("row_number() OVER (ORDER BY list_position(['grape', 'region', 'producer'], type), _seq)", "_seq"))
+def seed_scan(spark, sf):
+    """Seeds as CSV files and back, in their order."""
+    folder = _seed_folder(spark, sf)
+    read = files.read_seeds(spark, folder).all_entries()
+    # rows come back in the order of their file, which is that of the parts: place n of a type is its nth part
+    own = numbered(read.withColumn("_n", F.col("_seq") % (1 << 36)).withColumn("_file", F.col("type")), "_at", "_file", "_n")
+    parts = numbered(d.entries(spark, sf).filter("_seq % 17 <> 0").select(F.col("type").alias("_t"), F.col("_seq").alias("place")), "_at", "_t", "place")
+    return own.join(parts, "_at").select("type", "name_ko", "name_en", "region_group", "ko_source", "is_alias", "place")
+
+
+@query(f"WITH {d.ENTRIES}, {d.ALIASES} SELECT alias_ko, name_en, type, _seq - (SELECT min(_seq) FROM aliases) AS place FROM aliases")
+def alias_scan(spark, sf):
+    """Aliases as a CSV file and back; there is one for each customer, in order."""
+    return files.read_seeds(spark, _seed_folder(spark, sf)).all_aliases().select("alias_ko", "name_en", "type", F.col("_seq").alias("place"))
+
+
+@query(f"WITH {_BASE} SELECT term_seq - 1 AS term_seq, {', '.join(build.TERM_COLUMNS)} FROM final")
+def terms_file(spark, sf):
+    """The dictionary as a CSV file and back."""
+    path = scratch(spark, "terms.csv")
+    files.write_csv(_built(spark, sf).ordered(), path, build.TERM_COLUMNS)
+    return files.read_terms(spark, path).select("term_seq", *build.TERM_COLUMNS)
+
+
+@query(f"WITH {_BASE} SELECT term_seq - 1 AS place, canonical_id AS i, substr(type, 1, 1) AS t, name_ko AS ko, name_ko_primary AS p, name_en AS en, name_display AS d, tier AS tr, key_ko AS k, key_en AS ke FROM final")
+def compact_file(spark, sf):
+    """The runtime file, one JSON array, and back."""
+    path = scratch(spark, "compact.json")
+    files.write_compact(_built(spark, sf).terms, path)
+    return files.read_compact(spark, path).withColumnRenamed("_seq", "place")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS qid, trim(c_name) AS text, 0.85::DOUBLE AS th, 'all' AS type FROM customer QUALIFY c_custkey % 5 <> 0")
+def query_list(spark, sf):
+    """One query a line; blank lines find no query, and count as lines."""
+    path = scratch(spark, "queries")
+    lines = d.table(spark, sf, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 5 = 0 THEN '  ' ELSE ' ' || c_name || ' ' END").alias("value")).orderBy("c_custkey")
+    lines.select("value").coalesce(1).write.text(path)
+    return files.read_queries(spark, path)
+
+
+@query("SELECT r_name, n_name, n_nationkey::VARCHAR AS n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey")
+def hierarchy_copy(spark, sf):
+    """A table that is passed on as it is."""
+    source, target = scratch(spark, "hierarchy"), scratch(spark, "copied")
+    rows = d.table(spark, sf, "nation").join(d.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows.select("r_name", "n_name", "n_nationkey").coalesce(1).write.option("header", True).csv(source)
+    files.copy_table(spark, source, target)
+    return spark.read.option("header", True).csv(target)
+
+
 # ---- matching ----
 
 
@@ -503,6 +595,38 @@ def edit_targets(spark, sf):
     return edit.missing_targets(d.aliases(spark, sf).select("alias_ko", "name_en", "type"), d.entries(spark, sf))
 
 
+_BATCH_GOOD = f"""{d.BATCH}, edited AS (SELECT coalesce(a.name_en, s.name_en) AS name_en, coalesce(a.name_ko, s.name_ko) AS name_ko, _seq FROM seeds s LEFT JOIN asked a ON s.name_en = a.old),
+added AS (SELECT name_en, name_ko, (SELECT max(_seq) FROM seeds) + row_number() OVER (ORDER BY k) AS _seq FROM asked WHERE old = '')"""
+_REFUSED = (
+    ("twice", [edit.Change("producers", "add", {"name_en": "One House", "name_ko": "집"}), edit.Change("producers", "add", {"name_en": "one  house", "name_ko": "집"})], "name_en"),
+    ("gone", [edit.Change("producers", "edit", {"name_en": "One House", "name_ko": "집"}, {"name_en": "Supplier#000000001"}), edit.Change("producers", "edit", {"name_en": "Two", "name_ko": "집"}, {"name_en": "Supplier#000000001"})], "match"),
+    ("no target", [edit.Change("aliases", "add", {"alias_ko": "집", "name_en": "One House", "type": "producer"})], "name_en"),
+    ("same alias", [edit.Change("aliases", "add", {"alias_ko": "집", "name_en": "supplier 000000002", "type": "producer"})] * 2, "alias_ko"),
+    ("no hangul", [edit.Change("producers", "add", {"name_en": "One House", "name_ko": "house"})], "name_ko"),
+)
+
+
+@query(
+    f"WITH {_BATCH_GOOD} SELECT 'row' AS what, * FROM edited UNION ALL SELECT 'row', * FROM added UNION ALL SELECT 'alias', lower(s_name), '집', 0 FROM supplier WHERE s_suppkey = 2 "
+    f"UNION ALL SELECT * FROM (VALUES {', '.join(f'({chr(39)}refused{chr(39)}, {name!r}, {field!r}, {len(batch) - 1})' for name, batch, field in _REFUSED)})"
+)
+def edit_batch(spark, sf):
+    """A list of changes of entries and aliases as one transaction; lists that end at their last change."""
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in edit.ALIAS_FIELDS) + ", _seq long")
+    seeds = edit.Seeds({"producers": d.supplier_entries(spark, sf)}, empty)
+    changes = [edit.Change("producers", "edit" if old else "add", {"name_en": en, "name_ko": ko}, {"name_en": old} if old else None) for en, ko, old in d.nation_changes(spark, sf)]
+    # the alias is made before its entry has another name
+    now, _ = edit.changed(seeds, [edit.Change("aliases", "add", {"alias_ko": " 집", "name_en": "supplier#000000002", "type": "producer"}), *changes])
+    refused = []
+    for name, batch, _ in _REFUSED:
+        try:
+            edit.changed(seeds, batch)
+        except edit.ChangeError as error:
+            refused.append(("refused", name, error.field, len(batch) - 1))
+    rows = now.entries["producers"].select(F.lit("row").alias("what"), "name_en", "name_ko", "_seq")
+    return rows.union(now.aliases.select(F.lit("alias"), "name_en", "alias_ko", "_seq")).union(spark.createDataFrame(refused, "what string, name_en string, name_ko string, _seq long"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries of all suppliers in both scripts, resolved."""
     return scan_router(spark, sf_dir)

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onoma.functions.text import jamo_key, key_en
 from onoma.operators.edit import ENTRY_FIELDS
+from onoma.sources.staging import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity = part.groupBy(F.col("p_name").alias("_p")).agg(F.min("p_partkey").alias("_c"))
     own = by.join(entity, F.col("p_name") == F.col("_p"))
     w1, w2 = _word(F.col("_c"), *FIRST), _word(F.col("term_seq"), *SECOND)
-    return own.select(
+    named = own.select(
         "term_seq",
         F.concat(F.lit("c"), F.col("_c").cast("string")).alias("canonical_id"),
         F.substring(F.lit("grp"), (F.col("_c") % 3 + 1).cast("int"), F.lit(1)).alias("type"),
@@ -52,8 +53,13 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("name_en"),
         w1.alias("w1"),
         w2.alias("w2"),
-        (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term_seq")) - 1).alias("rn"),
     )
+    return _from_zero(named)
+
+
+def _from_zero(named: DataFrame) -> DataFrame:
+    """named with rn, its place by term_seq from 0."""
+    return numbered(named, "rn", "term_seq").withColumn("rn", F.col("rn") - 1)
 
 
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +71,7 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w1, w2 = _word(key % 997, *FIRST), _word(key, *SECOND)
     english = F.concat(F.initcap(made(key % 997 * 48271 + 160_000)), F.lit(" "), F.initcap(made(key * 1_047_27 + 400_009)), F.lit(" "), F.split("p_name", " ")[1])
-    number = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_partkey")) - 1).alias("rn")
-    return table(spark, sf_dir, "part").select(key.alias("term_seq"), F.concat(F.lit("c"), key.cast("string")).alias("canonical_id"), F.substring(F.lit("grp"), (key % 3 + 1).cast("int"), F.lit(1)).alias("type"), F.concat(w1, F.lit(" "), w2).alias("name_ko"), english.alias("name_en"), w1.alias("w1"), w2.alias("w2"), number)
+    return _from_zero(table(spark, sf_dir, "part").select(key.alias("term_seq"), F.concat(F.lit("c"), key.cast("string")).alias("canonical_id"), F.substring(F.lit("grp"), (key % 3 + 1).cast("int"), F.lit(1)).alias("type"), F.concat(w1, F.lit(" "), w2).alias("name_ko"), english.alias("name_en"), w1.alias("w1"), w2.alias("w2")))
 
 
 NAMES = f"""names AS (
@@ -152,10 +157,23 @@ def supplier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.lpad((F.col("n_nationkey") * 3).cast("string"), 9, "0")
     name = F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("New "), F.col("n_name"))).when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit("Supplier#"), key)).when(F.col("n_nationkey") % 4 == 2, F.concat(F.lit("SUPPLIER "), key)).otherwise(F.col("n_name"))
     ko = F.when(F.col("n_nationkey") % 4 == 3, F.lit("none")).otherwise(_word(F.col("n_nationkey"), *SECOND))
-    named = {"name_en": name, "name_ko": ko, "tier": F.lit(""), "region_group": F.lit("x"), "ko_source": F.lit("added"), "note": F.col("n_name")}
+    named = {"name_en": name, "name_ko": ko, "tier": F.lit(None).cast("string"), "region_group": F.lit(" x "), "ko_source": F.lit("added"), "note": F.concat(F.col("n_name"), F.lit(" "))}
     return n.select(*(named[c].alias(c) for c in ENTRY_FIELDS), F.col("n_nationkey").cast("long").alias("_seq"))
 
 
 EDITS = f"""seeds AS (SELECT s_name AS name_en, {_word_sql("s_suppkey", FIRST)} AS name_ko, '' AS tier, s_nationkey::VARCHAR AS region_group, 'manual' AS ko_source, '' AS note, s_suppkey::BIGINT AS _seq FROM supplier),
 changes AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'New ' || n_name WHEN 1 THEN 'Supplier#' || lpad((n_nationkey * 3)::VARCHAR, 9, '0') WHEN 2 THEN 'SUPPLIER ' || lpad((n_nationkey * 3)::VARCHAR, 9, '0') ELSE n_name END AS name_en,
   CASE WHEN n_nationkey % 4 = 3 THEN 'none' ELSE {_word_sql("n_nationkey", SECOND)} END AS name_ko, '' AS tier, 'x' AS region_group, 'added' AS ko_source, n_name AS note, n_nationkey::BIGINT AS _seq FROM nation)"""
+
+
+def nation_changes(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, str]]:
+    """(name_en, name_ko, name of the row replaced or '') of a list of changes that is made by hand: one for each nation, in order."""
+    n = table(spark, sf_dir, "nation")
+    old = F.when((F.col("n_nationkey") % 2 == 1) & (F.col("n_nationkey") < 20), F.concat(F.lit("Supplier#"), F.lpad(F.floor(F.col("n_nationkey") / 2).cast("string"), 9, "0"))).otherwise("")
+    rows = n.select("n_nationkey", F.concat(F.lit(" House of "), F.initcap("n_name")).alias("name_en"), _word(F.col("n_nationkey"), *SECOND).alias("name_ko"), old.alias("old")).collect()  # nations are 25
+    return [(r.name_en, r.name_ko, r.old) for r in sorted(rows, key=lambda r: r.n_nationkey)]
+
+
+BATCH = f"""seeds AS (SELECT s_name AS name_en, {_word_sql("s_suppkey", FIRST)} AS name_ko, s_suppkey::BIGINT AS _seq FROM supplier),
+asked AS (SELECT n_nationkey AS k, 'House of ' || array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name_en, {_word_sql("n_nationkey", SECOND)} AS name_ko,
+  CASE WHEN n_nationkey % 2 = 1 AND n_nationkey < 20 THEN 'Supplier#' || lpad((n_nationkey // 2)::VARCHAR, 9, '0') ELSE '' END AS old FROM nation)"""
