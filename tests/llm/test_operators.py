@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from onoma.llm import simhash, suffix_dedup
+from onoma.llm import decontamination, simhash, suffix_dedup
 from onoma.llm.components import connected_components
 from onoma.llm.decontamination import decontaminate, drop_contaminated
 from onoma.llm.license_scan import scan_licenses
@@ -207,10 +207,12 @@ def test_suffix_dedup_levels_and_long_texts(monkeypatch):
             assert (got == expected).all()
 
 
-def test_decontamination(spark, corpus):
+@pytest.mark.parametrize("bound", [decontamination.BROADCAST_MARKS, 0])
+def test_decontamination(spark, corpus, monkeypatch, bound):
+    monkeypatch.setattr(decontamination, "BROADCAST_MARKS", bound)  # fingerprints to all tasks, or shuffled
     rows, docs = corpus
     long = " ".join(f"passage{i}" for i in range(5, 40))
-    items = [(1, long), (2, long.upper()), (3, None), (4, " ..."), (5, "two words"), (None, "apache license"), (10, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w99999"), (6, "word " * 12), (7, "ÉCOLE straße")]
+    items = [(1, long), (2, long.upper()), (3, None), (4, " ..."), (5, "two words"), (None, "apache license"), (10, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w99999"), (6, "word " * 12), (7, "ÉCOLE straße"), (8, "here again same words here again and a tail"), (9, "again")]
     items += [(100 + i, t) for i, t in enumerate(r[1] for r in rows[60:62])]
     benchmark = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, doc_id int")
     got = decontaminate(docs, benchmark).collect()
@@ -227,6 +229,19 @@ def test_decontamination(spark, corpus):
     assert not any(r.contaminated for r in none) and len(none) == len(rows)
 
 
+def test_winnowing_keeps_few_places_and_finds_every_window(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{int(x)}" for x in rng.integers(0, 400, 3000)]
+    items = [(i, " ".join(base[a : a + int(n)])) for i, (a, n) in enumerate(zip(rng.integers(0, 2900, 40), rng.integers(1, 30, 40), strict=True))]
+    texts = [" ".join(base), " ".join(f"x{i}" for i in range(3000)), " ".join(["w1 w2"] * 300)]
+    texts += [" ".join([*("y" * int(rng.integers(0, 9))), *base[int(a) : int(a) + 25], "z"]) for a in rng.integers(0, 2900, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    same(got, ((i, *brute.contaminated(t, items)) for i, t in enumerate(texts)))
+    n = docs.select(F.size(decontamination.winnowed(F.split("text", " "), [10])).alias("n")).collect()[1].n
+    assert 0.2 < n / 3000 < 0.37  # two in seven
+
+
 def test_simhash(corpus):
     rows, docs = corpus
     got = simhash.near_duplicates(docs).collect()
