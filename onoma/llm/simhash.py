@@ -4,12 +4,14 @@ Fingerprints within `radius` bits agree on all but `radius` of any blocks they a
 they meet in a bucket of some choice of `blocks - radius` equal blocks. In a bucket, pairs
 are first compared by their distances to reference fingerprints: by the triangle inequality
 two rows of that table that differ by more than `radius` in any coordinate can't be linked.
-Survivors are verified by their exact distance.
+Survivors are verified by their exact distance. Buckets are counted first, and members of those too
+large for one task go to buckets of more blocks, which share more bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +28,7 @@ N_PIVOTS = 16
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, N_PIVOTS, dtype=np.uint64)
 #: Buckets up to this size are compared at all offsets at once, others by a breadth-first search.
 SMALL = 16
-#: Distinct fingerprints in a bucket beyond which its members are linked through shared variants.
+#: Distinct fingerprints in a bucket beyond which its members are dealt to finer buckets, and last to shared variants.
 LARGE = 20_000
 
 
@@ -100,17 +102,14 @@ def search(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return heads, tails
 
 
-def _links(radius: int, large: int):
-    """Rows sorted by bucket -> (a, b): links that span each bucket; (fp, null) for buckets too large."""
+def _links(radius: int):
+    """Rows sorted by bucket -> (a, b): links that span each bucket."""
 
-    def solve(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        heads, tails, over = [], [], []
+    def solve(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        heads, tails = [], []
         sizes = ends - starts
         for i in np.flatnonzero(sizes > SMALL):
             own = fps[starts[i] : ends[i]]
-            if len(own) > large:
-                over.append(own)
-                continue
             h, t = search(own, radius)
             heads.append(own[h])
             tails.append(own[t])
@@ -125,16 +124,14 @@ def _links(radius: int, large: int):
                 heads.append(own[a[hit]])
                 tails.append(own[a[hit] + t])
         empty = [np.empty(0, np.uint64)]
-        return np.concatenate(heads or empty), np.concatenate(tails or empty), np.concatenate(over or empty)
+        return np.concatenate(heads or empty), np.concatenate(tails or empty)
 
     def out(fps: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-        h, t, over = solve(fps, bounds[:-1], bounds[1:])
-        a = np.concatenate((h, over)).view(np.int64)
-        b = pa.array(np.concatenate((t, over)).view(np.int64), mask=np.arange(len(a)) >= len(h))
-        return pa.RecordBatch.from_arrays([pa.array(a), b], ["a", "b"])
+        made = solve(fps, bounds[:-1], bounds[1:])
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in made], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of the bucket that the last batch may have cut
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of the bucket that the last batch may have cut: `large` at most
         for b in batches:
             if not b.num_rows:
                 continue
@@ -188,26 +185,30 @@ def _variants(radius: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4, large: int = LARGE) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = 4, large: int = LARGE, finer: tuple[int, ...] = (2, 4, 6)) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints (column fp) just as all links would.
 
-    Buckets of more than `large` distinct fingerprints are not searched: any link whose buckets are
-    all that large joins two of their members, which meet through variants of half the radius.
-    That way needs 2081 rows for each member, so it is left to such buckets.
+    Buckets are counted with partial sums before any is dealt to a task. One of more than `large` is
+    not searched: its members go to buckets of so many more blocks, where every link has a bucket
+    again, and at last to variants of half the radius, of which linked ones share one (2081 rows
+    for each member, left to what no choice of blocks tells apart).
     """
     n = distinct.count()
-    keys = masks(blocks_for(n, radius), radius)
-    rows = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(keys)))).alias("x"))
-    rows = rows.select("fp", "x.t", "x.key").repartition("t", "key").sortWithinPartitions("t", "key")
-    found = stage(rows.mapInArrow(_links(radius, large), "a long, b long"), "links")
-    over = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
-    links = found.filter("b is not null").distinct()
-    if over.limit(1).count():
-        met = over.mapInArrow(_variants(radius), "fp long, variant long")
-        met = stage(met, "variants")
-        least = met.groupBy("variant").agg(F.min("fp").alias("a"))
-        links = links.union(met.join(least, "variant").filter("a <> fp").select("a", F.col("fp").alias("b"))).distinct()
-    return links
+    found: list[DataFrame] = []
+    for more in (0, *finer):
+        keys = masks(blocks_for(n, radius) + more, radius)
+        rows = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(keys)))).alias("x")).select("fp", "x.t", "x.key")
+        hot = stage(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("t", "key"), "hot")
+        some_hot = hot.limit(1).count() > 0
+        cold = (rows.join(hot, ["t", "key"], "left_anti") if some_hot else rows).repartition("t", "key").sortWithinPartitions("t", "key")
+        found.append(stage(cold.select("fp", "t", "key").mapInArrow(_links(radius), "a long, b long"), "links"))
+        if not some_hot:
+            return reduce(DataFrame.union, found).distinct()
+        distinct = stage(rows.join(hot, ["t", "key"], "left_semi").select("fp").distinct(), "members")
+    met = stage(distinct.mapInArrow(_variants(radius), "fp long, variant long"), "variants")
+    least = met.groupBy("variant").agg(F.min("fp").alias("a"))
+    found.append(met.join(least, "variant").filter("a <> fp").select("a", F.col("fp").alias("b")))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
@@ -216,6 +217,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     Rows of equal fingerprint are one node, so copies cost no pairs. Null or wordless texts
     have fingerprint 0 and are linked like others; repeated rows get the same component. Rows
     without a doc_id get the least doc_id of their component, or null. An empty table gives no rows.
+    Other columns are not read, whatever their names. A very long text is hashed whole, its bits counted piece by piece.
     """
     rows = stage(fingerprints(docs), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
