@@ -52,6 +52,30 @@ def test_pii_long_runs_take_linear_time(spark):
     assert sum(r.n_email + r.n_card + r.n_phone for r in got) == 0
 
 
+def test_pii_many_identifiers_in_one_text(spark):
+    """Time grows with the spans; those before and after the blocks' bounds are in place."""
+    texts = [" ".join(f"u{i}@h.org +1 (743) 555-{i % 10_000:04d}" for i in range(n)) for n in (0, 1, 127, 128, 129, 50_000)]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        spans = brute.pii(t)
+        assert got[i].base_sha256 == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
+        assert got[i].n_email == sum(k == "email" for k, _, _ in spans)
+
+
+def test_pii_rounds_go_on_until_nothing_is_added_and_base_spans_stay(spark):
+    rows = [(i, f"call me on +1 (743) 555-{1000 + i} today") for i in range(200)]  # seeds: "me on _", "on _ today"
+    rows += [(1100 + i, f"call me on 743 555-{1000 + i} today and dial now 743 555-{1000 + i} please") for i in range(30)]
+    rows += [(1200 + i, f"dial now 843 555-{2000 + i} please or ring up 843 555-{2000 + i} later") for i in range(8)]
+    rows += [(1300 + i, f"ring up 943 555-{3000 + i} later") for i in range(2)]
+    rows += [(1400, "call me on 10.0.0.1 or x@y.org today"), (1100, rows[200][1]), (1100, "another text")]
+    got = find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {}
+    for r in got:
+        spans.setdefault(r.doc_id, []).append(r.spans)
+    assert spans[1103] == ["phone:11:23,phone:43:55"] and spans[1203] == ["phone:9:21,phone:40:52"] and spans[1301] == ["phone:8:20"]
+    assert spans[1400] == ["email:23:30,ip:11:19"] and sorted(spans[1100]) == ["", "phone:11:23,phone:43:55", "phone:11:23,phone:43:55"]
+
+
 def test_licenses(corpus):
     rows, docs = corpus
     got = scan_licenses(docs).collect()
@@ -253,9 +277,9 @@ def test_simhash(corpus):
     assert {r.doc_id for r in kept.collect()} == {c for c in least}
 
 
-@pytest.mark.parametrize(("small", "large"), [(16, 20_000), (2, 20_000), (2, 5)])
-def test_simhash_links_keep_components(spark, monkeypatch, small, large):
-    """Chains, tight groups and far fingerprints: by offsets, by search, and by shared variants."""
+@pytest.mark.parametrize(("small", "large", "finer"), [(16, 20_000, (2, 4, 6)), (2, 20_000, (2, 4, 6)), (2, 5, ()), (2, 12, (2, 4))])
+def test_simhash_links_keep_components(spark, monkeypatch, small, large, finer):
+    """Chains, tight groups and far fingerprints: by offsets, by search, by shared variants, and by finer buckets."""
     monkeypatch.setattr(simhash, "SMALL", small)
     rng = np.random.default_rng(5)
     fps = [int(x) for x in rng.integers(0, 2**64, 200, dtype=np.uint64)]
@@ -268,7 +292,7 @@ def test_simhash_links_keep_components(spark, monkeypatch, small, large):
         fps += [c ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (40, 2))]
     fps = sorted({*fps, 0, 2**64 - 1})
     frame = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long").repartition(3)
-    roots = {r.node: r.root for r in connected_components(simhash.fingerprint_links(frame, large=large)).collect()}
+    roots = {r.node: r.root for r in connected_components(simhash.fingerprint_links(frame, large=large, finer=finer)).collect()}
     got = [roots.get(simhash._signed(f), simhash._signed(f)) for f in fps]
     least = brute.components(list(range(len(fps))), fps)
     assert len(set(got)) == len(set(least))
@@ -284,7 +308,7 @@ def test_components_of_a_long_chain(spark):
     assert sorted(map(len, groups.values())) == [3, 301]
 
 
-@pytest.mark.parametrize("blocks", [6, 7, 8, 9])
+@pytest.mark.parametrize("blocks", [6, 7, 8, 9, 10, 12])
 def test_no_link_escapes_the_buckets(blocks):
     rng = np.random.default_rng(blocks)
     keys = simhash.masks(blocks, 4)
