@@ -16,16 +16,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 PATH, INNER, LEAF, WORDS, NUMBERS = 96, 64, 32, 48, 5
 WIDTH = PATH + INNER + LEAF + WORDS + NUMBERS
 HIDDEN = 12
-PAGES_AT_ONCE = 512
+#: Bounds of what is held at once: characters of pages, cells of a padded batch, rows of vectors.
+CHARACTERS, CELLS, ROWS = 4_000_000, 32_768, 4096
 
 # Element names of the HTML standard.
-BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
-RAW = set("script style iframe noembed noframes xmp svg math".split())
+BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul xmp".split())
+RAW = set("script style iframe noembed noframes svg".split())
 ALONE = set("hr".split())
 HOLDERS = set("article aside body div dialog fieldset footer form head header html main nav section table".split())
 ENDS_P = BLOCKS - set("button caption dd dt legend li object optgroup option select tbody td tfoot th thead tr title head body html template noscript".split())
@@ -41,7 +43,7 @@ def blocks_of(page: str) -> list[Block]:
     """(path, text, share of its characters in links) of each leaf block with text, in page order.
 
     Inline tags do not part text; a line break is white space. Comments, scripts and styles have
-    no text. Unclosed and misplaced tags are closed as browsers do in the plain cases.
+    no text, nor have drawings that are closed. Unclosed and misplaced tags are closed as browsers do in the plain cases.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
@@ -79,7 +81,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in RAW:
             if not m[1] and not m[3].endswith("/"):
                 close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                at = close.end() if close else at if name == "svg" else len(page)
             continue
         if name == "br":
             keep(" ")
@@ -160,38 +162,46 @@ class Labeller:
         for d in (0, 1):
             self.p[f"b{d}"][HIDDEN : 2 * HIDDEN] = 1.0  # gates that remember
 
-    def _read(self, x: np.ndarray, mask: np.ndarray, d: int) -> tuple[np.ndarray, list]:
-        steps, pages, _ = x.shape
-        into = (x.reshape(-1, WIDTH) @ self.p[f"x{d}"] + self.p[f"b{d}"]).reshape(steps, pages, -1)
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        """What blocks say to the gates of both readings, before any context: x may be any number of rows."""
+        return x @ np.concatenate((self.p["x0"], self.p["x1"]), axis=1) + np.concatenate((self.p["b0"], self.p["b1"]))
+
+    def _read(self, into: np.ndarray, mask: np.ndarray, d: int, trace: list | None = None) -> np.ndarray:
+        """States of [step, page]; `trace` gets what the gradient needs of each step."""
+        steps, pages, _ = into.shape
         h = c = np.zeros((pages, HIDDEN), np.float32)
-        out, trace = np.zeros((steps, pages, HIDDEN), np.float32), []
+        out = np.zeros((steps, pages, HIDDEN), np.float32)
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-            z = into[t] + h @ self.p[f"h{d}"]
+            z = into[t, :, 4 * HIDDEN * d : 4 * HIDDEN * (d + 1)] + h @ self.p[f"h{d}"]
             i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
             g = np.tanh(z[:, 3 * HIDDEN :])
             m = mask[t][:, None]
             c2 = f * c + i * g
             th = np.tanh(c2)
-            trace.append((t, h, c, i, f, o, g, th))
+            if trace is not None:
+                trace.append((t, h, c, i, f, o, g, th))
             h, c = np.where(m, o * th, h), np.where(m, c2, c)
             out[t] = h
-        return out, trace
+        return out
 
-    def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """P(article) of [step, page]; mask marks the blocks that are there."""
-        both = np.concatenate([self._read(x, mask, d)[0] for d in (0, 1)], axis=2)
+    def judge(self, into: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """P(article) of [step, page] by their gates; mask marks the blocks that are there."""
+        both = np.concatenate([self._read(into, mask, d) for d in (0, 1)], axis=2)
         return _sigmoid(both @ self.p["o"] + self.p["c"])
 
+    def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return self.judge(self.gates(x.reshape(-1, WIDTH)).reshape(*x.shape[:2], -1), mask)
+
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over the blocks, and its gradient by back-propagation through both readings."""
-        reads = [self._read(x, mask, d) for d in (0, 1)]
-        both = np.concatenate([r[0] for r in reads], axis=2)
+        into, traces = self.gates(x.reshape(-1, WIDTH)).reshape(*x.shape[:2], -1), ([], [])
+        both = np.concatenate([self._read(into, mask, d, traces[d]) for d in (0, 1)], axis=2)
         q = _sigmoid(both @ self.p["o"] + self.p["c"])
         n = mask.sum()
         loss = -float((np.log(np.where(y, q, 1 - q) + 1e-9) * mask).sum() / n)
         dz = (q - y) * mask / n
         grad = {"o": np.einsum("tbh,tb->h", both, dz), "c": np.array([dz.sum()])}
-        for d, (_, trace) in enumerate(reads):
+        for d, trace in enumerate(traces):
             dout = dz[:, :, None] * self.p["o"][d * HIDDEN : (d + 1) * HIDDEN]
             dh = dc = np.zeros(dout.shape[1:], np.float32)
             dx, dwh = np.zeros((*x.shape[:2], 4 * HIDDEN), np.float32), np.zeros_like(self.p[f"h{d}"])
@@ -221,7 +231,7 @@ class Labeller:
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     longest = max(map(len, pages))
-    x, mask = np.zeros((longest, len(pages), WIDTH), np.float32), np.zeros((longest, len(pages)), bool)
+    x, mask = np.zeros((longest, len(pages), pages[0].shape[1]), np.float32), np.zeros((longest, len(pages)), bool)
     for i, p in enumerate(pages):
         x[: len(p), i] = p
         mask[: len(p), i] = True
@@ -363,27 +373,45 @@ def trained(pages: int = 900, rounds: int = 110, seed: int = 11) -> Labeller:
 
 
 def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
-    """P(article) of the blocks of each page; pages of like length are read together."""
+    """P(article) of the blocks of each page; pages of like length are read together, as many as CELLS allows.
+
+    Vectors are made for some rows at a time and turned to gates at once, so what a page needs is
+    some 400 bytes a block, however long it is.
+    """
     out: list[np.ndarray] = [np.empty(0)] * len(pages)
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
     at = 0
     while at < len(order):
-        longest, n = len(pages[order[at]]), 0
-        while at + n < len(order) and n < PAGES_AT_ONCE and len(pages[order[at + n]]) <= longest + 4 + longest // 4:
-            n += 1
-        some = order[at : at + n]
-        p = model.predict(*padded([vectors(pages[i]) for i in some]))
+        some = [order[at]]
+        most = len(pages[some[0]]) * 5 // 4 + 4
+        while at + len(some) < len(order) and len(pages[order[at + len(some)]]) <= min(most, CELLS // (len(some) + 1)):
+            some.append(order[at + len(some)])
+        gates = [np.concatenate([model.gates(vectors(pages[i][lo : lo + ROWS])) for lo in range(0, len(pages[i]), ROWS)]) for i in some]
+        p = model.judge(*padded(gates))
         for k, i in enumerate(some):
             out[i] = p[: len(pages[i]), k]
-        at += n
+        at += len(some)
     return out
 
 
+def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of up to CHARACTERS in all, one row at least."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and held + n > CHARACTERS:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def _extract(model: Labeller, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2 * PAGES_AT_ONCE):
-                b = batch.slice(lo, 2 * PAGES_AT_ONCE)
+            sizes = pc.fill_null(pc.binary_length(batch.column("html")), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in _parts(sizes):
+                b = batch.slice(lo, hi - lo)
                 pages = [blocks_of(x or "") for x in b.column("html").to_pylist()]
                 texts = ["\n".join(text for (_, text, _), q in zip(page, p, strict=True) if q >= 0.5) for page, p in zip(pages, label(model, pages), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*columns, "text", "n_chars"])
@@ -395,7 +423,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages(page_id, url, html, ...).
 
     text has the blocks labelled as article, joined by line feeds; it is empty for a null or empty
-    page and for one without an article. One pass without a shuffle; repeated rows are read each.
+    page and for one without an article. One pass without a shuffle; repeated rows are read each, and an
+    empty table gives no rows. Other columns are not read, whatever their names. Pages are read in
+    groups bounded by characters and blocks; a very long one is a group of its own.
     """
     columns = ["page_id", "url"]
     read = pages.select(*columns, "html")

@@ -119,3 +119,26 @@ def test_odd_pages(spark):
     found = got.collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in found) == [(0, 559), (1, 0), (2, 0), (3, 0), (3, 0)]
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_math_and_sample_text_stay_and_drawings_go():
+    texts = lambda page: [t for _, t, _ in blocks_of(page)]
+    assert texts("<p>so <math><mi>x</mi>=1</math> holds</p>") == ["so x=1 holds"]
+    assert texts("<p>a</p><xmp>b c</xmp><p>d</p>") == ["a", "b c", "d"]
+    assert texts("<p>a <svg><text>no</text></svg>b</p><svg><p>c</p>") == ["a b", "c"]
+
+
+def test_pages_are_read_in_bounded_groups(monkeypatch):
+    import onoma.llm.html_blocks as h
+
+    pages = [blocks_of("<body><article>" + "".join(f"<p>word {i} of many.</p>" for i in range(n)) + "</article><nav><a>x</a></nav>") for n in (1, 2, 3, 700, 701, 40, 41, 42, 5000)]
+    whole, held = label(trained(), pages), []
+    judge = h.Labeller.judge
+    monkeypatch.setattr(h, "CELLS", 128)
+    monkeypatch.setattr(h, "ROWS", 64)
+    monkeypatch.setattr(h.Labeller, "judge", lambda self, into, mask: held.append(mask.shape) or judge(self, into, mask))
+    for p, q in zip(label(trained(), pages), whole, strict=True):
+        assert np.allclose(p, q, atol=1e-4)
+    assert all(pages == 1 or steps * pages <= 128 for steps, pages in held)
+    assert list(h._parts(np.array([5, h.CHARACTERS, 1, 1, 2 * h.CHARACTERS]))) == [(0, 1), (1, 2), (2, 4), (4, 5)]
+    assert list(h._parts(np.array([], int))) == []
