@@ -198,8 +198,34 @@ def test_suffix_dedup(corpus):
         kept = bytes(np.frombuffer(t, np.uint8)[~cover])
         runs = int((np.diff(np.concatenate(([0], cover.astype(np.int8)))) == 1).sum())
         expected.append((d, len(t), int(cover.sum()), runs, brute.sha(kept)))
-    for large in (suffix_dedup.LARGE, 1):  # by the index, and by counting strings
-        same(suffix_dedup.suffix_dedup(docs.select("doc_id", "text", "source"), large).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), expected)
+    for split, large, hashes in ((suffix_dedup.SPLIT, suffix_dedup.LARGE, 3), (2, 100, 2), (1, 1, 1)):  # by the index, by two hashes, and by counting strings
+        same(suffix_dedup.suffix_dedup(docs.select("doc_id", "text", "source"), split, large, hashes).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), expected)
+
+
+def test_suffix_dedup_passages_that_many_texts_share(spark):
+    """Passages of many lengths in texts that differ around them: hot anchors at every hash."""
+    rng = np.random.default_rng(6)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    passages = [noise(n) for n in (120, 250, 390, 399, 400, 401, 700)]
+    texts = [noise(int(rng.integers(100, 500))) + passages[i % 7] + noise(int(rng.integers(100, 500))) for i in range(350)]
+    texts += [noise(300) + texts[k] for k in range(0, 60, 7)] + [b"".join(passages), b"\0" * 900, b"ab\0" * 300]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    expected = [(i, len(t), int(c.sum()), brute.sha(bytes(np.frombuffer(t, np.uint8)[~c]))) for i, (t, c) in enumerate(zip(texts, brute.repeats(texts), strict=True))]
+    for split, large, hashes in ((20, 10, 2), (20, 1000, 3), (10_000, 1, 1)):
+        got = suffix_dedup.suffix_dedup(docs, split, large, hashes)
+        same(got.select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect(), expected)
+
+
+def test_suffix_dedup_hashes_tell_strings_apart_that_a_power_of_two_does_not():
+    one = [0]
+    while len(one) < 512:  # the Thue-Morse word and its complement
+        one += [1 - x for x in one]
+    a, b = (np.array([97 + (x ^ y) for x in one], np.uint8) for y in (0, 1))
+    buf = np.concatenate((a, b))
+    got = suffix_dedup._content(buf, suffix_dedup._sums(buf), np.array([0, 512, 0]), np.array([512, 1024, 512]))
+    assert got[0] == got[2] != got[1]
+    up, down = suffix_dedup._powers(5000)[2:]
+    assert all(int(up[i]) == pow(suffix_dedup._PRIME_BASE, i, suffix_dedup._PRIME) and int(up[i]) * int(down[i]) % suffix_dedup._PRIME == 1 for i in (0, 1, 2, 777, 4999))
 
 
 def test_suffix_dedup_levels_and_long_texts(monkeypatch):
@@ -216,7 +242,7 @@ def test_suffix_dedup_levels_and_long_texts(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array([t.decode() for t in texts])], ["doc_id", "rid", "text"])
     for segment in (1 << 20, 2048):
         monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
-        chunks = [r for b in suffix_dedup._chunks([batch]) for r in b.to_pylist()]
+        chunks = [r for b in suffix_dedup._chunks(0)([batch]) for r in b.to_pylist()]
         n = Counter((c["anchor"], c["content"]) for c in chunks)
         one = {(c["anchor"], c["content"]): c for c in chunks}
         cells = [(a, c, x["offset"], n[a, c] > 1, texts[x["doc_id"]][x["at"] : x["at"] + x["n"] + 399]) for (a, c), x in one.items()]
