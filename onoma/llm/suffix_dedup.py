@@ -32,7 +32,10 @@ from onoma.llm.common import stage, text_or_empty
 LENGTH = 400
 GRAM = 100
 SPAN = LENGTH - GRAM  # an anchor is 0 to SPAN bytes from a string's start
-SEGMENT = 1 << 20
+#: Bytes of text whose hashes are held at once, some 100 bytes for each; places in them have 20 bits.
+SEGMENT = 1 << 18
+PLACES = 1 << 20
+ROWS = 256
 BATCH = 2048
 CELLS_A_TASK = 8192
 #: Cells of one anchor hash beyond which they are cut again by anchors of another hash, and how many hashes there are.
@@ -42,7 +45,7 @@ LARGE = 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_LOW = np.uint64(SEGMENT - 1)
+_LOW = np.uint64(PLACES - 1)
 #: A second hash, modulo a prime: powers of two alone have short strings that collide by their form.
 _PRIME, _PRIME_BASE = 2**31 - 1, 1_103_515_245
 _tables: list[np.ndarray] = []
@@ -112,7 +115,7 @@ def _cut(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, salt: int = 0
 
 
 def _segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
-    """Buffers below SEGMENT bytes, with (row, place in the text, place in the buffer, length) of each piece.
+    """Buffers of up to SEGMENT bytes, and little more, with (row, place in the text, place in the buffer, length) of each piece.
 
     A longer text comes in pieces that overlap by length - 1 bytes, so that each string is in one.
     """
@@ -126,7 +129,7 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int,
             pieces.append((row, at, size, len(piece)))
             held.append(piece)
             size += len(piece)
-            if size > SEGMENT // 2 - 2 * LENGTH:
+            if size >= step:
                 yield np.frombuffer(b"".join(held), np.uint8), pieces
                 held, pieces, size = [], [], 0
     if size >= LENGTH:
@@ -135,16 +138,18 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int,
 
 def _chunks(salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for buf, pieces in _segments([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]):
-                row, at, start, length = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
-                first, count, offset, anchor, content = _cut(buf, start, length, salt)
-                piece = np.searchsorted(start, first, side="right") - 1
-                own = pa.array(row[piece])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(own), b.column("rid").take(own), pa.array(at[piece] + first - start[piece]), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(anchor), pa.array(content)],
-                    ["doc_id", "rid", "at", "n", "offset", "anchor", "content"],
-                )
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                b = batch.slice(lo, ROWS)
+                for buf, pieces in _segments([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]):
+                    row, at, start, length = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
+                    first, count, offset, anchor, content = _cut(buf, start, length, salt)
+                    piece = np.searchsorted(start, first, side="right") - 1
+                    own = pa.array(row[piece])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").take(own), b.column("rid").take(own), pa.array(at[piece] + first - start[piece]), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(anchor), pa.array(content)],
+                        ["doc_id", "rid", "at", "n", "offset", "anchor", "content"],
+                    )
 
     return run
 
