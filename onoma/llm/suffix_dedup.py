@@ -41,7 +41,7 @@ CELLS_A_TASK = 8192
 #: Cells of one anchor hash beyond which they are cut again by anchors of another hash, and how many hashes there are.
 SPLIT, HASHES = 256, 3
 #: Cells of one anchor of the last hash beyond which their strings, few by then, are counted one by one over all tasks.
-LARGE = 4096
+LARGE = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
