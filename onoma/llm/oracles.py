@@ -51,4 +51,52 @@ SELECT doc_id, n::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(pl
 FROM phrases LEFT JOIN matches USING (doc_id)"""
 
 
-ORACLES = {"op5_decontamination": DECONTAMINATION, "op7_license_scan": license_scan(), "op9_line_dedup": LINE_DEDUP}
+SUFFIX_DEDUP = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM docs, unnest(range(0, length(x) // 2 - 399)) AS u(i)),
+hits AS (SELECT doc_id, i FROM strings WHERE h IN (SELECT h FROM strings GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM hits)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM marked GROUP BY doc_id, run),
+cut AS (SELECT doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS b, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs) JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)"""
+
+_TOKENS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+MIX_TARGETS = f"""
+WITH sizes AS (SELECT doc_id, source, len({_TOKENS})::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size) AS n, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM sizes GROUP BY source),
+whole AS (SELECT sum(n)::DOUBLE AS total FROM sources),
+levels AS (SELECT l.level, sum(least(3.0::DOUBLE * s.n, l.level * s.w)) AS filled, sum(CASE WHEN 3.0::DOUBLE * s.n > l.level * s.w THEN s.w ELSE 0 END) AS open FROM (SELECT DISTINCT 3.0::DOUBLE * n / w AS level FROM sources UNION SELECT 0.0) AS l, sources AS s GROUP BY l.level),
+reached AS (SELECT max_by(level + CASE WHEN open > 0 THEN (total - filled) / open ELSE 0 END, level) AS level FROM levels, whole WHERE filled <= total)
+SELECT doc_id, size, n::BIGINT AS source_size, round(least(3.0::DOUBLE * n, reached.level * w), 3) AS target FROM sizes JOIN sources ON sizes.source IS NOT DISTINCT FROM sources.source, reached"""
+
+QUALITY_BASE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, {_TOKENS} AS w FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM docs, unnest(range(1, len(w) - 3)) AS u(i)),
+twice AS (SELECT doc_id, count(DISTINCT p) AS n FROM grams JOIN (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g), unnest(range(i, i + 5)) AS v(p) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(twice.n, 0)::BIGINT AS n_repeat_words, (len(w) < 10 OR 100 * coalesce(twice.n, 0) > 20 * len(w)) AS base_failed
+FROM docs LEFT JOIN twice USING (doc_id) LEFT JOIN lines USING (doc_id)"""
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN {_DIGITS}[i::INT]::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][{_DIGITS}[i::INT]::INT + 1] END)) % 10 = 0"
+PII_BASE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+  len(list_filter(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+){{3}}'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR lpad(right(p, 3), 3, '0') > '255')) = 0))::BIGINT AS n_ip,
+  len(list_filter(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda x: length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}))::BIGINT AS n_card,
+  len(list_filter(regexp_extract_all(t, '\\+[0-9][ ().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 8 AND 15))::BIGINT AS n_phone FROM docs"""
+
+
+ORACLES = {
+    "op4_suffix_dedup": SUFFIX_DEDUP,
+    "op5_decontamination": DECONTAMINATION,
+    "op7_license_scan": license_scan(),
+    "op9_line_dedup": LINE_DEDUP,
+    "pii_base": PII_BASE,
+    "mix_targets": MIX_TARGETS,
+    "quality_base": QUALITY_BASE,
+}

@@ -61,5 +61,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_html_text, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_license_scan, op8_toxicity, op9_line_dedup, op10_quality)}
+# The parts of three operators that SQL can say, over the same whole tables.
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality(spark, sf_dir).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_html_text, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_license_scan, op8_toxicity, op9_line_dedup, op10_quality, pii_base, mix_targets, quality_base)}
 __all__ = ["ORACLES", "QUERIES"]
