@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; it is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents; other columns of
+docs are not read, whatever their names. An empty table gives an empty one, in every stage.
 """
 
 from __future__ import annotations
@@ -20,27 +21,47 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and the compression bands."""
+    """Documents that pass the rules and the compression bands.
+
+    Null and empty texts have no words, so they go; repeated rows go or stay alike. A very long
+    text is judged whole and by all its chunks.
+    """
     return quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that ten or more share; n_chars follows the text."""
+    """Every document, without the lines that ten or more share; n_chars follows the text.
+
+    A null text comes out empty. Rows that repeat a doc_id count as one document, and each loses its
+    lines; a row without one counts as one. All lines of a very long text are read.
+    """
     return line_dedup(docs.select(*COLUMNS)).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
+    """One document of each group of near duplicates: the one with the least doc_id.
+
+    Texts without words are near duplicates of one another. Rows that repeat the doc_id that stays
+    all stay, and so do rows without one. All shingles of a very long text count.
+    """
     return deduplicate(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item.
+
+    Null texts hold none, and items without words are in none. Rows that repeat a doc_id, or have
+    none, go together if one of them holds a passage. A very long text is searched to its end.
+    """
     return drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
+    """How many words the mix takes of each document.
+
+    Null and wordless texts have size 0, of which 0 is taken; a null source is a source; repeated
+    rows are rows of their own. A very long text counts whole.
+    """
     return mix_sources(docs.select(*COLUMNS))
 
 
