@@ -143,7 +143,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9)
 
     A null text is empty: no words, no labels, score 0. score is 1 where a phrase stands, else the
     greatest containment found in a line or in a window over lines. Rows that repeat a doc_id
-    share the labels of its lines.
+    share the labels of its lines. An empty table gives no rows. Other columns are not read, whatever
+    their names. Of a very long text only words near a template's rare ones go on as rows.
     """
     docs = docs.select("doc_id", "text")
     text = text_or_empty()

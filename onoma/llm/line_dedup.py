@@ -70,14 +70,15 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     """docs(doc_id, text, ...) with `text` reduced, and n_lines, n_dropped, kept_sha256 (these replace columns of those names).
 
     Null and empty texts are one empty line, which stays (its key has no code point). Rows that
-    repeat a doc_id count as one document, and each loses its lines. No input rows: no rows.
+    repeat a doc_id count as one document, and each loses its lines; a row without one is a document of
+    its own. No input rows: no rows. A very long text is one row, with 16 bytes for each of its lines.
     The plan shuffles (document, hash) pairs twice, partially aggregated, so a line found in
     a third of all documents is no hot key, and the texts once, to meet their lists.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_sha256", "_hot")]
     docs = docs.select(*columns)
     pairs = stage(docs.select("doc_id", "text").mapInArrow(_line_hashes(min_chars), docs.select("doc_id").schema.add("h1", "long").add("h2", "long")), "lines")
-    hot = pairs.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
+    hot = pairs.groupBy("h1", "h2").agg((F.countDistinct("doc_id") + F.count(F.when(F.col("doc_id").isNull(), 1))).alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
     hot = stage(hot, "hot")  # a table of its own, so that the join reads plain exchanges: Spark can split a hot line's rows
     lists = pairs.join(hot, ["h1", "h2"], "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_hot"))
     joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*columns, "_hot")

@@ -74,18 +74,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     table gives no rows.
     """
     spark = docs.sparkSession
-    sizes = stage(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(TOKEN)).cast("long").alias("size")), "sizes")
+    key = F.xxhash64(F.lit(seed), "doc_id", "text").alias("_key")
+    sizes = stage(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(TOKEN)).cast("long").alias("size"), key), "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     seats = F.lit(total).cast("long")
     targets = stage(source_targets(sizes, weights, most).withColumn("_one", F.lit(0)), "targets")
     quotas = sainte_lague(targets.withColumn("_seats", seats), ["_one"], "target", "_seats", ["source"])
     quotas = quotas.select("source", "source_size", "target", F.col("quota").alias("_quota"), F.ceil(F.col("n_docs") / docs_per_shard).alias("_shards"))
     quotas = stage(quotas, "quotas")
-    key = F.xxhash64(F.lit(seed), "doc_id")
     bounded = quotas.count() <= 1_000_000  # one row per source, below 100 bytes each
     q = quotas.withColumnRenamed("source", "_source")
     rows = sizes.join(F.broadcast(q) if bounded else q, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    rows = rows.withColumns({"_key": key, "_shard": F.pmod(F.shiftright(key, 20), "_shards")})
+    rows = rows.withColumn("_shard", F.pmod(F.shiftright("_key", 20), "_shards"))
     shards = rows.groupBy("source", "_shard").agg(F.sum("size").alias("_shard_size"), F.first("_quota").alias("_quota"))
     shards = sainte_lague(shards, ["source"], "_shard_size", "_quota", ["_shard"])
     n = F.greatest(F.col("_shard_size"), F.lit(1))

@@ -145,7 +145,8 @@ def quality_rules(docs: DataFrame, bands: Bands | None = None, carry: list[str]
     """The `carry` columns of docs (default: all) with the word statistics, compression ratios and `kept`.
 
     One pass over the rows without a shuffle. Null texts are empty: no words, so base_failed.
-    Statistics replace columns of the same names. Repeated rows are judged each.
+    Statistics replace columns of the same names. Repeated rows are judged each; an empty table gives
+    no rows. A very long text is judged whole and by all its chunks, one text at a time.
     """
     names = [x.split()[0] for x in STATS.split(", ")]
     columns = [c for c in carry or docs.columns if c not in names]

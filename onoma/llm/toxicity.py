@@ -294,6 +294,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max
     The field is fitted on at most max_docs labelled documents of each class of up to max_chars code points,
     and tags every whole text in one pass without a shuffle. Null and wordless texts get the score of
     no toxic word. Without labels of both classes the score is the mean label. A null doc_id is not held out.
+    Rows that repeat a doc_id are each scored by their own text; an empty table gives no rows. Other columns
+    are not read, whatever their names. A very long text is tagged line by line, from end to end.
     """
     model = train(*sample(docs, labels, max_docs, max_chars))
     schema = docs.select("doc_id").schema.add("held_out", "boolean").add("score", "double")

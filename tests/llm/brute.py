@@ -134,13 +134,13 @@ def line_key(x):
 
 
 def hot_lines(rows, least=10):
-    """Keys in as many documents, of rows (doc_id, text)."""
+    """Keys in as many documents, of rows (doc_id, text); a row without an id is one."""
     where = {}
-    for d, t in rows:
+    for n, (d, t) in enumerate(rows):
         for x in (t or "").split("\n"):
             if line_key(x):
-                where.setdefault(line_key(x), set()).add(d)
-    return {k for k, v in where.items() if len(v - {None}) >= least}
+                where.setdefault(line_key(x), set()).add(("row", n) if d is None else d)
+    return {k for k, v in where.items() if len(v) >= least}
 
 
 def quality(t):

@@ -1,5 +1,7 @@
 """The pipeline stage by stage against brute force, each on its own input."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,25 @@ def test_no_documents(spark):
         assert f(spark, docs, SF).count() == 0
 
 
+def test_stages_on_odd_rows(spark, corpus):
+    """Nulls, empty and very long texts, ties, repeated rows and columns of clashing names, in every stage."""
+    odd, docs = corpus
+    stages = dict(corpus_pipeline.STAGES)
+    bag = lambda df: Counter((r.doc_id, r.text, r.lang, r.source) for r in df.collect())
+    assert bag(stages["quality"](spark, docs, SF)) == Counter((d, t, lang, s) for d, t, lang, s, *_ in odd if brute.kept(t, Bands()))
+    hot = brute.hot_lines((r[0], r[1]) for r in odd)
+    reduced = Counter((d, "\n".join(x for x in (t or "").split("\n") if brute.line_key(x) not in hot), lang, s) for d, t, lang, s, *_ in odd)
+    assert bag(stages["line_dedup"](spark, docs, SF)) == reduced
+    least = brute.components([r[0] for r in odd], [brute.fingerprint(r[1]) for r in odd])
+    assert bag(stages["simhash"](spark, docs, SF)) == Counter(tuple(r[:4]) for r, c in zip(odd, least, strict=True) if r[0] in (None, c))
+    items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
+    gone = {r[0] for r in odd if brute.contaminated(r[1], items)[-1]}
+    assert bag(stages["decontamination"](spark, docs, SF)) == Counter(tuple(r[:4]) for r in odd if r[0] not in gone)
+    mixed = stages["mixing"](spark, docs, SF).collect()
+    assert Counter((r.doc_id, r["size"]) for r in mixed) == Counter((r[0], len(brute.TOKEN.findall(r[1] or ""))) for r in odd)
+    assert all(0 <= r.taken <= 3 * r["size"] for r in mixed)
+
+
 def test_registered_queries_return_their_columns(spark):
     expected = {
         "op1_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
