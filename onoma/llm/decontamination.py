@@ -51,8 +51,9 @@ def winnowed(words: Column, widths: list[int], k: int = 5) -> Column:
 
         def chosen(least: Column) -> Column:
             # a gram is chosen by a run of windows: its place follows from the low bits, and its first window stands for all
-            made = lambda x, i: F.when((i == 0) | (x != F.get(least, i - 1)), F.struct(F.lit(width).alias("width"), (i + F.pmod(x - i, F.lit(places))).cast("int").alias("at"), x.bitwiseAND(F.lit(-places)).alias("mark")))
-            return F.filter(F.transform(least, made), lambda x: x.isNotNull())
+            first = F.filter(F.sequence(F.lit(0), F.size(least) - 1), lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1)))
+            made = lambda i: F.struct(F.lit(width).alias("width"), (i + F.pmod(F.get(least, i) - i, F.lit(places))).cast("int").alias("at"), F.get(least, i).bitwiseAND(F.lit(-places)).alias("mark"))
+            return F.when(F.size(least) > 0, F.transform(first, made)).otherwise(F.array().cast(MARKS))
 
         return _bound(_grams(hashes, size, places), lambda g: _bound(_least(g, w), chosen))
 
