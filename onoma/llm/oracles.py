@@ -35,17 +35,22 @@ def _places(phrase: str) -> str:
     return f"list_filter(range(1, len(w) + 1), lambda i: {same})"
 
 
-def license_scan(threshold: float = 0.9) -> str:
+def license_scan(threshold: float = 0.9, stretch: int = 2) -> str:
     sets = [(label, sorted(set(python_words(text)))) for label, text in TEMPLATES]
-    rows = ", ".join(f"('{label}', {own!r}, {math.ceil(threshold * len(own))})" for label, own in sets)
+    rows = ", ".join(f"({i}, '{label}', {own!r}, {math.ceil(threshold * len(own))}, {stretch * len(python_words(text))})" for i, ((label, own), (_, text)) in enumerate(zip(sets, TEMPLATES, strict=True)))
     own = ", ".join(f"{_places(p)} AS p{i}" for i, p in enumerate(PHRASES.values()))
     labels = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(PHRASES))
     return f"""
 WITH docs AS (SELECT doc_id, {_LOWERED} AS t, {_WORDS} AS w FROM documents),
 phrases AS (SELECT doc_id, len(w) AS n, list_concat({", ".join(f"p{i}" for i in range(len(PHRASES)))}) AS places, list_filter([{labels}], lambda x: x IS NOT NULL) AS base FROM (SELECT doc_id, w, {own} FROM docs)),
-templates(label, own, need) AS (VALUES {rows}),
+templates(id, label, own, need, reach) AS (VALUES {rows}),
 lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS held FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs)),
-matches AS (SELECT doc_id, list(DISTINCT label) AS more, max(shared / len(own)) AS most FROM (SELECT doc_id, label, own, need, len(list_intersect(held, own)) AS shared FROM lines, templates) WHERE shared >= need GROUP BY doc_id)
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS token FROM docs),
+tokens AS (SELECT id, label, len(own) AS n, need, reach, unnest(own) AS token FROM templates),
+windows AS (SELECT doc_id, label, n, need, count(DISTINCT token) OVER (PARTITION BY doc_id, id ORDER BY i RANGE BETWEEN CURRENT ROW AND reach - 1 FOLLOWING) AS shared FROM places JOIN tokens USING (token)),
+found AS (SELECT doc_id, label, shared / n AS share FROM windows WHERE shared >= need
+  UNION ALL SELECT doc_id, label, shared / n FROM (SELECT doc_id, label, need, len(own) AS n, len(list_intersect(held, own)) AS shared FROM lines, templates) WHERE shared >= need),
+matches AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS most FROM found GROUP BY doc_id)
 SELECT doc_id, n::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(most, 0.0)::DOUBLE END AS score
 FROM phrases LEFT JOIN matches USING (doc_id)"""

@@ -103,11 +103,11 @@ def test_license_join_finds_what_brute_force_finds(corpus):
         assert {tuple(r) for r in template_matches(docs.select("doc_id", "text"), threshold=threshold).collect()} == expected
 
 
-def test_licenses_wrapped_over_lines(spark):
+def _notices():
+    """Each template wrapped at three widths; then with words far apart, left out and put in."""
     import textwrap
 
-    from onoma.llm.common import python_words
-    from onoma.llm.license_scan import TEMPLATES, wrapped_matches
+    from onoma.llm.license_scan import TEMPLATES
 
     rng = np.random.default_rng(2)
     rows = []
@@ -116,11 +116,48 @@ def test_licenses_wrapped_over_lines(spark):
             rows.append("int a;\n" + "\n".join(f" * {x}" for x in textwrap.wrap("Copyright by Somebody. " + text.capitalize(), width)) + "\n\nint b;")
     wrapped = len(rows)
     vocabulary = sorted({t for _, text in TEMPLATES for t in text.split()})
-    for _, text in TEMPLATES:  # far apart, and with words put in and left out
+    for _, text in TEMPLATES:
         rows.append("\n".join(w + " filler" * 30 for w in text.split()))
         for share in (0.05, 0.3):
             made = [x for w in text.split() for x in ([w] if rng.random() > share else [str(rng.choice(vocabulary)), "other"])]
             rows.append("\n".join(" ".join(made[i : i + 3]) for i in range(0, len(made), 3)))
+    return rows, wrapped
+
+
+def test_licenses_sql_says_the_same_of_wrapped_notices(spark):
+    import duckdb
+
+    from onoma.llm.oracles import ORACLES
+
+    rows, _ = _notices()
+    got = scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).toPandas()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(rows)])
+    expected = con.execute(ORACLES["op7_license_scan"]).df()[list(got.columns)]
+    assert got.sort_values("doc_id").fillna(-1).values.tolist() == expected.sort_values("doc_id").fillna(-1).values.tolist()
+
+
+def test_license_names_that_differ_by_a_word_are_told_apart(spark):
+    texts = {
+        "gpl": "under the terms of the GNU General\nPublic License",
+        "lgpl": "under the terms of the GNU Lesser\nGeneral Public License",
+        "agpl": "under the terms of the GNU Affero General Public License",
+        "cc-by": "This work is licensed under a Creative Commons Attribution 4.0\nInternational License.",
+        "cc-by-sa": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+        "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 License.",
+    }
+    got = {r.doc_id: set(r.labels.split(",")) for r in scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    for label, labels in got.items():
+        assert label in labels
+        assert not labels & {"lgpl", "agpl", "cc-by-sa", "cc-by-nc"} - {label}
+
+
+def test_licenses_wrapped_over_lines(spark):
+    from onoma.llm.common import python_words
+    from onoma.llm.license_scan import TEMPLATES, wrapped_matches
+
+    rows, wrapped = _notices()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, source string")
     for threshold in (0.9, 0.6):
         expected = set()
