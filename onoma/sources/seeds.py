@@ -10,11 +10,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from onoma.operators.dictionary import TERM_COLUMNS, compact
 from onoma.operators.edit import ALIAS_FIELDS, ENTRY_FIELDS, FILES, Seeds
+from onoma.sources.staging import stage
 
 BOM = "﻿"
 
@@ -74,10 +75,25 @@ def read_compact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_seq", F.monotonically_increasing_id())
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): the lines of a file, or of a folder's files in the order of their paths, and their places from 0.
+
+    Files are read in blocks by many tasks. Lines are written with their block, so that blocks stay as they are; a
+    line's place is that in its block and the sizes of the blocks before it. Blocks are few, lines are not moved.
+    """
+    block = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
+    # a block is read whole by one task, in which these numbers run by row
+    lines = stage(spark.read.text(path).select("value", *(c.alias(k) for k, c in block.items()), F.monotonically_increasing_id().alias("_id")), "lines")
+    sizes = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_least"))
+    before = Window.partitionBy(F.lit(0)).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = stage(sizes.select(*block, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift")), "blocks")
+    return lines.join(shifts, list(block)).select((F.col("_id") + F.col("_shift")).alias("n"), "value")
+
+
 def read_queries(spark: SparkSession, path: str, th: float = 0.85, type_: str = "all") -> DataFrame:
-    """Queries (qid, text, th, type): one a line, trimmed, blank lines left out."""
-    lines = spark.read.text(path).withColumn("qid", F.monotonically_increasing_id())
-    return lines.select("qid", F.trim("value").alias("text"), F.lit(th).alias("th"), F.lit(type_).alias("type")).filter("text <> ''")
+    """Queries (qid, text, th, type): one a line, trimmed, blank lines left out; qid is the line's place from 0."""
+    lines = read_lines(spark, path)
+    return lines.select(F.col("n").alias("qid"), F.trim("value").alias("text"), F.lit(th).alias("th"), F.lit(type_).alias("type")).filter("text <> ''")
 
 
 def copy_table(spark: SparkSession, source: str, target: str) -> bool:

@@ -290,6 +290,29 @@ def test_files(spark, built, seeds, tmp_path):
     assert files.copy_table(spark, str(folder / "grapes.csv"), str(tmp_path / "x"))
 
 
+def test_query_lines_keep_their_places_over_splits_and_files(spark, tmp_path):
+    from tests.test_catalog import compared
+    from onoma.plans.catalog import ORACLES, QUERIES
+
+    folder = tmp_path / "q"
+    folder.mkdir()
+    texts = [["피노", "", "  cabernet "], ["x" * 300] + [f" 샤토 {i}" if i % 5 else "  " for i in range(400)], [], [f"b{i}" for i in range(70)]]
+    for i, own in enumerate(texts):
+        (folder / f"part-{i}.txt").write_text("".join(f"{x}\n" for x in own), encoding="utf-8")
+    expected = [[(i, x.strip()) for i, x in enumerate(own) if x.strip()] for own in (texts[1], sum(texts, []))]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        assert spark.read.text(str(folder / "part-1.txt")).rdd.getNumPartitions() > 10
+        for path, want in zip((folder / "part-1.txt", folder), expected, strict=True):
+            assert [(r.qid, r.text) for r in files.read_queries(spark, str(path)).orderBy("qid").collect()] == want
+        assert files.read_queries(spark, str(folder / "part-2.txt")).count() == 0
+        got, found = compared(spark, QUERIES["query_list"], ORACLES["query_list"])
+        assert got == found
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_stream(spark, index, tmp_path):
     rows = [(0, "피노 누아르", 0.85, "all"), (1, "cabernet", 0.8, "all")]
     spark.createDataFrame(rows, "qid long, text string, th double, type string").write.parquet(str(tmp_path / "in"))
